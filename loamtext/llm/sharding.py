@@ -1,14 +1,15 @@
 """Two-pass external shuffle into shards, with DataFrame functions only.
 
 Pass 1 scatters records uniformly into memory-sized buckets by a seeded hash of the
-row's place in the scan, so equal keys and equal rows spread like any others, and
-writes the buckets to the shared folder.  Pass 2 draws a Fisher-Yates permutation for
-each bucket (``shuffle`` over its slot numbers) and writes it as a table; the record of
-rank r in a bucket takes the r-th drawn slot.  Buckets follow each other, so a record
-has one place in the whole order, and shard s holds the places from ceil(s*N/S).
+row's place in the scan, so equal keys and equal rows spread like any others; Spark's
+shuffle files are the buckets on disk.  Pass 2 loads one bucket at a time as an array,
+puts it in key order, draws a Fisher-Yates permutation of it (``shuffle``) and writes
+it to the shared folder.  Buckets follow each other, so each record has one place in
+the whole order, and shard s holds the places from ceil(s*N/S).
 
-Both passes are written before they are read, so a task that is repeated after the
-loss of an executor reads the same scatter and the same permutation.
+The buckets are written before anything is derived from them: a task that is repeated
+after the loss of an executor writes its buckets anew as a whole, and later tasks read
+the one order that was committed.
 
 Law: ``rows``; shards differ by at most one row.  Defined results: a null text has
 size 1 and checksum 0 and stays null; repeated rows are separate records; an empty
@@ -21,61 +22,67 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from loamtext.llm.common import new_path, written
 
-BUCKET_ROWS = 20_000
+BUCKET_BYTES = 16 << 20
 SEED = 1729
 #: Buckets whose offsets are summed together in one step of the two-level prefix sum.
 SUPER = 1024
+#: Bucket offsets (16 bytes each) are broadcast up to this number, else joined by key.
+BROADCAST_BUCKETS = 200_000
+
+
+def shuffled_buckets(rows: DataFrame, n_buckets: int, seed: int = SEED) -> DataFrame:
+    """Both passes, written: the rows with ``_bucket`` and ``_at`` (from 0 in a bucket)."""
+    cols = rows.columns
+    keyed = rows.withColumn("_key", F.xxhash64(F.lit(seed), F.monotonically_increasing_id()))
+    keyed = keyed.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "_key"), F.lit(n_buckets)).cast("int"))
+    loaded = (
+        keyed.repartition(n_buckets, "_bucket")
+        .groupBy("_bucket")
+        .agg(F.sort_array(F.collect_list(F.struct("_key", *cols))).alias("records"))
+    )
+    drawn = loaded.select("_bucket", F.posexplode(F.shuffle("records", F.lit(seed))).alias("_at", "r"))
+    return written(drawn.select("_bucket", "_at", *(F.col(f"r.{c}").alias(c) for c in cols)), "buckets")
 
 
-def scatter(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, seed: int = SEED) -> DataFrame:
-    """Pass 1, written: the rows with ``_bucket`` and ``_rank`` (from 1 within a bucket)."""
-    n = docs.count()
-    buckets = max(1, math.ceil(n / bucket_rows))
-    at = F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
-    keyed = docs.withColumn("_key", at).withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "_key"), F.lit(buckets)).cast("int"))
-    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy("_key")))
-    return written(ranked.drop("_key"), "scatter")
-
-
-def permutations(scattered: DataFrame, seed: int = SEED) -> DataFrame:
-    """Pass 2: (bucket, rank, place); one Fisher-Yates permutation per bucket, written."""
-    counts = scattered.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
-    counts = written(counts.repartitionByRange("_bucket").sortWithinPartitions("_bucket"), "buckets")
-    supers = counts.groupBy(F.floor(F.col("_bucket") / SUPER).alias("super")).agg(F.sum("n").alias("super_n"))
+def bucket_offsets(buckets: DataFrame) -> DataFrame:
+    """(bucket, first place): a two-level prefix sum, so that no task sees all buckets."""
+    counts = written(buckets.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")), "bucket_counts")
+    counts = counts.withColumn("super", F.floor(F.col("_bucket") / SUPER))
+    supers = counts.groupBy("super").agg(F.sum("n").alias("super_n"))
     before = supers.select("super", (F.sum("super_n").over(Window.orderBy("super")) - F.col("super_n")).alias("super_at"))
-    inside = counts.withColumn("super", F.floor(F.col("_bucket") / SUPER)).withColumn(
-        "at", F.sum("n").over(Window.partitionBy("super").orderBy("_bucket")) - F.col("n")
-    )
-    drawn = inside.join(before, "super").select(
-        "_bucket",
-        F.posexplode(F.shuffle(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), F.lit(seed))).alias("rank0", "slot0"),
-        (F.col("super_at") + F.col("at")).alias("at"),
-    )
-    return written(drawn.select("_bucket", (F.col("rank0") + 1).alias("_rank"), (F.col("at") + F.col("slot0")).alias("_place")), "permutation")
+    inside = counts.withColumn("at", F.sum("n").over(Window.partitionBy("super").orderBy("_bucket")) - F.col("n"))
+    return inside.join(before, "super").select("_bucket", (F.col("super_at") + F.col("at")).alias("_first"))
 
 
-def shuffled(docs: DataFrame, n_shards: int, bucket_rows: int = BUCKET_ROWS, seed: int = SEED) -> DataFrame:
+def shuffled(docs: DataFrame, n_shards: int, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
     """The rows with ``shard`` and ``slot`` (gapless from 0 in a shard)."""
-    kept = docs.withColumnsRenamed({c: f"_in_{k}" for k, c in enumerate(docs.columns)})
-    scattered = scatter(kept, bucket_rows, seed)
-    places = permutations(scattered, seed)
-    n = scattered.count()
-    placed = scattered.join(places, ["_bucket", "_rank"])
-    shard = F.floor(F.col("_place") * n_shards / F.lit(max(n, 1))) if n * n_shards < 2**52 else F.expr(f"_place * {n_shards} div {n}")
-    start = F.expr(f"(_shard * {n} + {n_shards - 1}) div {n_shards}")
-    placed = placed.withColumn("_shard", shard.cast("long")).withColumn("_slot", F.col("_place") - start)
-    back = [F.col(f"_in_{k}").alias(c) for k, c in enumerate(docs.columns)]
+    inner = {c: f"_in_{k}" for k, c in enumerate(docs.columns)}
+    strings = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in docs.schema.fields if isinstance(f.dataType, StringType)]
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(sum(strings, F.lit(8 * len(inner)))).alias("b")).first()
+    n = size.n
+    n_buckets = max(1, math.ceil((size.b or 0) / bucket_bytes))
+    buckets = shuffled_buckets(docs.toDF(*inner.values()), n_buckets, seed)
+    offsets = bucket_offsets(buckets)
+    if n_buckets <= BROADCAST_BUCKETS:
+        offsets = F.broadcast(offsets)
+    placed = (
+        buckets.join(offsets, "_bucket")
+        .withColumn("_place", F.col("_first") + F.col("_at"))
+        .withColumn("_shard", F.expr(f"_place * {n_shards} div {max(n, 1)}"))
+        .withColumn("_slot", F.expr(f"_place - (_shard * {n} + {n_shards - 1}) div {n_shards}"))
+    )
+    back = [F.col(v).alias(c) for c, v in inner.items()]
     return placed.select(*back, F.col("_shard").cast("int").alias("shard"), F.col("_slot").alias("slot"))
 
 
-def write_shards(docs: DataFrame, n_shards: int, path: str | None = None, bucket_rows: int = BUCKET_ROWS, seed: int = SEED) -> str:
+def write_shards(docs: DataFrame, n_shards: int, path: str | None = None, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> str:
     """Write the shards as folders ``shard=k``, rows in slot order; returns the path."""
     path = path or new_path(docs.sparkSession, "shards")
-    out = shuffled(docs, n_shards, bucket_rows, seed)
-    files = max(n_shards, math.ceil(out.count() / bucket_rows))
-    out.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    out = shuffled(docs, n_shards, bucket_bytes, seed)
+    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return path
