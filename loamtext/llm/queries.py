@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamtext.llm import chat, pieces, quality, sharding, token_counts
+from loamtext.llm import chat, decontaminate, pieces, quality, sharding, simhash, token_counts
 from loamtext.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,6 +34,11 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shuffled(table(spark, sf_dir, "documents").select("doc_id", "text"), 16)
     text = F.coalesce("text", F.lit(""))
@@ -66,8 +76,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_simhash": op5_simhash,
     "op8_sharding": op8_sharding,
     "op10_chat_formatting": op10_chat_formatting,
 }
@@ -128,3 +140,23 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(whole) AS turns_sha256, lengt
   sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars
 FROM g
 """
+
+_TEST_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+
+ORACLES["op2_decontamination"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TEST_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_TEST_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (
+  SELECT DISTINCT item_id, array_to_string(w[s:s+7], ' ') AS p, least(8, len(w)) AS n
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS s FROM b WHERE len(w) > 0)),
+ns AS (SELECT DISTINCT n FROM bw),
+dw AS (
+  SELECT r, s, n, array_to_string(w[s:s+n-1], ' ') AS p
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, ns)),
+m AS (SELECT r, s, n, item_id FROM dw JOIN bw USING (p, n)),
+h AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS x FROM m) GROUP BY r),
+i AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM m) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)
+"""
