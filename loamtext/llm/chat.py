@@ -42,38 +42,35 @@ def unescaped(c: Column) -> Column:
     return F.array_join(F.transform(F.split(c, r"\\\\", -1), lambda x: F.replace(x, F.lit("\\l"), F.lit("<"))), "\\")
 
 
-def _merged(turns: Column) -> Column:
-    """Adjacent equal roles of an array<struct<role, texts>> merged in one pass.
+def _joined(parts: Column, opening: Column, closing: Column, body: Column) -> Column:
+    """Bodies in order: one header for each run of parts whose roles meet.
 
-    Rows come sorted.  A run starts where the role differs from the one before; each
-    run is sliced out, which is linear, instead of growing an array step by step.
+    ``opening``, ``closing`` and ``body`` are arrays as long as ``parts`` with the role
+    that a part begins with, the one that it ends with, and its text without the first
+    header.  All arrays are made once per row; no lambda refers to another array, so the
+    work is linear in the number of parts.
     """
-    n = F.size(turns)
-    starts = F.filter(
-        F.sequence(F.lit(1), n),
-        lambda i: (i == 1) | (F.element_at(turns, i).role != F.element_at(turns, F.greatest(i - 1, F.lit(1))).role),
-    )
-    return F.transform(
-        starts,
-        lambda s, k: F.struct(
-            F.element_at(turns, s).role.alias("role"),
-            F.array_join(
-                F.transform(
-                    F.slice(turns, s, F.coalesce(F.get(starts, k + 1), n + 1) - s),
-                    lambda t: t.text,
-                ),
-                AND,
-            ).alias("text"),
-        ),
-    )
+    before = F.slice(F.concat(F.array(F.lit(None).cast("string")), closing), 1, F.size(parts))
+    starts = F.zip_with(opening, before, lambda role, last: F.when(last.isNull(), F.concat(F.lit(TURN), role, F.lit(TEXT))).when(role == last, AND).otherwise(F.concat(F.lit(END + TURN), role, F.lit(TEXT))))
+    return F.array_join(F.zip_with(starts, body, lambda start, text: F.concat(start, text)), "")
 
 
 def _blocks(rows: DataFrame, block: int) -> DataFrame:
-    """One row per conversation and block of turn numbers: its runs as structs."""
+    """One row per conversation and block of turn numbers, formatted but for its ends."""
+    turns = F.col("turns")
+    roles = F.transform(turns, lambda t: t.role)
+    whole = _joined(turns, roles, roles, F.transform(turns, lambda t: t.text))
+    first = F.element_at(turns, 1).role
     return (
         rows.groupBy("cid", F.floor(F.col("turn") / block).alias("block"))
-        .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"), F.count(F.lit(1)).alias("n_rows"))
-        .select("cid", "block", "n_rows", _merged(F.transform("turns", lambda t: F.struct(t.role.alias("role"), t.text.alias("text")))).alias("runs"))
+        .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+        .select(
+            "cid",
+            "block",
+            first.alias("first"),
+            F.element_at(turns, -1).role.alias("last"),
+            F.substr(whole, F.char_length(first) + F.lit(len(TURN) + len(TEXT) + 1)).alias("body"),
+        )
     )
 
 
@@ -85,16 +82,13 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
         escaped(F.coalesce(F.col(role_col), F.lit(""))).alias("role"),
         escaped(F.coalesce(F.col(text_col), F.lit(""))).alias("text"),
     )
-    runs = F.flatten(F.transform("parts", lambda p: p.runs))
+    parts = F.col("parts")
+    whole = _joined(parts, F.transform(parts, lambda p: p.first), F.transform(parts, lambda p: p.last), F.transform(parts, lambda p: p.body))
     return (
         _blocks(rows, block)
         .groupBy("cid")
-        .agg(F.sort_array(F.collect_list(F.struct("block", "n_rows", "runs"))).alias("parts"))
-        .select("cid", _merged(runs).alias("runs"))
-        .select(
-            F.col("cid").alias(conv_col),
-            F.concat_ws("", F.transform("runs", lambda r: F.concat(F.lit(TURN), r.role, F.lit(TEXT), r.text, F.lit(END)))).alias("formatted"),
-        )
+        .agg(F.sort_array(F.collect_list(F.struct("block", "first", "last", "body"))).alias("parts"))
+        .select(F.col("cid").alias(conv_col), F.concat(whole, F.lit(END)).alias("formatted"))
     )
 
 
