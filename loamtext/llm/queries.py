@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamtext.llm import chat, decontaminate, pieces, quality, sharding, simhash, token_counts
+from loamtext.llm import chat, decontaminate, pieces, quality, sharding, simhash, token_counts, toxicity
 from loamtext.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,19 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.sample(docs, table(spark, sf_dir, "labels")))
+    out = toxicity.score(docs, model)
+    return out.select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"),
+        "spans",
+    )
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "\\### Assistant: </turn> ok"
@@ -81,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_simhash": op5_simhash,
     "op8_sharding": op8_sharding,
+    "op9_toxicity": op9_toxicity,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
