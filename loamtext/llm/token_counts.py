@@ -19,6 +19,8 @@ empty table.  Other columns are not read.
 
 from __future__ import annotations
 
+import json
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,17 +35,53 @@ OVERLAP = 256
 BATCH_CHARS = 1 << 20
 
 
-@lru_cache(maxsize=2)
-def load(path: str):
-    from tokenizers import Tokenizer
+#: With the normaliser below, any other text is left to the library as a whole.  Up to
+#: U+024F every character is its own NFC form, and lower-casing keeps positions but for
+#: U+0130.
+_ODD = re.compile("[^\x00-\u012f\u0131-\u024f]")
+_NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+class Library:
+    """A tokenizer file, and the same without its normaliser where that is plain.
+
+    The library's normaliser tracks alignments character by character, a third of its
+    time.  If it is NFC, white-space folding and lower-casing, and the words are cut by
+    a pattern that drops white space, then lower-casing a text of plain characters
+    first gives the same tokens.
+    """
 
-    return Tokenizer.from_file(path)
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.full = Tokenizer.from_file(path)
+        self.specials = tuple(t.content for t in self.full.get_added_tokens_decoder().values())
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        cut = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        folds = (spec.get("normalizer") or {}).get("normalizers") == _NORMALISER
+        drops = cut.get("behavior") == "Removed" and cut.get("invert") and "[^\\s\\p{L}\\p{N}]+" in str(cut.get("pattern", {}).get("Regex"))
+        self.plain = None
+        if folds and drops:
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = None
+
+    def prepared(self, text: str) -> tuple[object, str]:
+        """The tokenizer to use and the text to give to it; positions are kept."""
+        if self.plain is None or _ODD.search(text) or any(s in text for s in self.specials):
+            return self.full, text
+        return self.plain, text.lower()
 
 
 def encode_spans(tok, text: str) -> list[tuple[int, int]]:
     return tok.encode(text, add_special_tokens=False).offsets
 
 
+@lru_cache(maxsize=2)
+def load(path: str) -> Library:
+    return Library(path)
+
+
 def stable_border(text: str, left: list[int], right: list[int], lo: int, hi: int, specials: tuple[str, ...] = ()) -> int | None:
     """The last position in (lo, hi) that is proven stable, or None.
 
@@ -57,8 +95,9 @@ def stable_border(text: str, left: list[int], right: list[int], lo: int, hi: int
     return None
 
 
-def count_huge(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, specials: tuple[str, ...] = ()) -> int:
+def count_huge(library: Library, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Tokens of a text longer than ``chunk``, spliced from overlapping chunks."""
+    tok, text = library.prepared(text)
     total, at = 0, 0  # tokens before ``at`` are counted; ``at`` is a stable border
     end = min(len(text), chunk)
     left = [at + s for s, _ in encode_spans(tok, text[at:end])]
@@ -73,7 +112,7 @@ def count_huge(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, speci
             stop = min(len(text), start + chunk)
             right = [start + s for s, _ in encode_spans(tok, text[start:stop])]
             # the first token of the right chunk and the last of the left one may be cut
-            border = stable_border(text, left, right, start, end, specials)
+            border = stable_border(text, left, right, start, end, library.specials)
             back *= 2
         else:
             total += bisect_left(left, border)
@@ -82,21 +121,24 @@ def count_huge(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, speci
     return total + len(left)
 
 
-def count_batch(tok, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP, specials: tuple[str, ...] = ()) -> list[int]:
+def count_batch(library: Library, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
     out = [0] * len(texts)
-    some: list[int] = []
+    some: dict[int, list[tuple[int, str]]] = {}
     size = 0
 
     def flush() -> None:
-        for k, e in zip(some, tok.encode_batch_fast([texts[k] for k in some], add_special_tokens=False)):
-            out[k] = len(e)
-        some.clear()
+        for tok in (library.full, library.plain):
+            rows = some.pop(id(tok), [])
+            if rows:
+                for (k, _), e in zip(rows, tok.encode_batch_fast([t for _, t in rows], add_special_tokens=False)):
+                    out[k] = len(e)
 
     for k, t in enumerate(texts):
         if len(t) > chunk:
-            out[k] = count_huge(tok, t, chunk, overlap, specials)
+            out[k] = count_huge(library, t, chunk, overlap)
             continue
-        some.append(k)
+        tok, text = library.prepared(t)
+        some.setdefault(id(tok), []).append((k, text))
         size += len(t)
         if size > BATCH_CHARS:
             flush()
@@ -113,11 +155,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tok = load(vocabulary)
-        specials = tuple(t.content for t in tok.get_added_tokens_decoder().values())
+        library = load(vocabulary)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            counts = count_batch(tok, texts, chunk, overlap, specials)
+            counts = count_batch(library, texts, chunk, overlap)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"))
