@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamtext.llm import chat, decontaminate, pieces, quality, sharding, simhash, token_counts, toxicity
+from loamtext.llm import chat, decontaminate, line_dedup, pieces, quality, sharding, simhash, substring, token_counts, toxicity
 from loamtext.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.dedup_lines(docs)
+    return out.select("doc_id", F.size("_dropped").cast("long").alias("n_dropped"), F.col("_dropped").alias("dropped_lines"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shuffled(table(spark, sf_dir, "documents").select("doc_id", "text"), 16)
     text = F.coalesce("text", F.lit(""))
@@ -93,6 +103,8 @@ QUERIES: dict[str, Query] = {
     "op3_token_counts": op3_token_counts,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_simhash": op5_simhash,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_line_dedup": op7_line_dedup,
     "op8_sharding": op8_sharding,
     "op9_toxicity": op9_toxicity,
     "op10_chat_formatting": op10_chat_formatting,
