@@ -63,16 +63,16 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``(id, fp)`` for each row, fp as a signed long; written."""
+    """``(id, k2, fp)`` for each row: fp as a signed long, k2 a hash of the text; written."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = np.array([simhash(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made)], ["id", "fp"])
+            made = np.array([simhash(t, shingle) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made)], ["id", "k2", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    return written(rows.mapInArrow(run, f"id {id_type}, fp long"), "fingerprints")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(2), text_col).alias("k2"), F.col(text_col).alias("t"))
+    return written(rows.mapInArrow(run, f"id {id_type}, k2 long, fp long"), "fingerprints")
 
 
 def shared_bytes(x: Column, y: Column) -> Column:
@@ -127,7 +127,7 @@ def _narrow(many: DataFrame, max_bits: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """``id, fp, component, component_id`` for each row.
+    """``id, k2, fp, component, component_id`` for each row.
 
     ``component`` is the least fingerprint of the component, ``component_id`` its least id.
     """
@@ -137,4 +137,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("label", "fp").alias("component"))
     least = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
     member = labelled.join(least, "component").select("fp", "component", "component_id")
-    return prints.join(member, "fp").select("id", "fp", "component", "component_id")
+    return prints.join(member, "fp").select("id", "k2", "fp", "component", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The row of the least id (then text hash) of each component; of equal rows, one."""
+    members = near_duplicates(docs, id_col, text_col, **settings)
+    least = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "k2")).alias("m")).select("component", F.col("m.id").alias("mid"), F.col("m.k2").alias("k2"))
+    rows = members.groupBy("component", "id", "k2").agg(F.count(F.lit(1)).alias("n"))
+    chosen = rows.join(least, ["component", "k2"]).where(F.col("id").eqNullSafe(F.col("mid")))
+    chosen = written(chosen.select(F.xxhash64(F.lit(1), "id").alias("_k1"), F.col("k2").alias("_k2"), "n"), "chosen")
+    keyed = docs.withColumns({"_k1": F.xxhash64(F.lit(1), id_col), "_k2": F.xxhash64(F.lit(2), text_col)})
+    once = keyed.join(chosen.where("n = 1").select("_k1", "_k2"), ["_k1", "_k2"], "left_semi")
+    often = chosen.where("n > 1").select("_k1", "_k2")
+    if not often.isEmpty():
+        once = once.union(keyed.join(often, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]))
+    return once.drop("_k1", "_k2")
