@@ -150,7 +150,7 @@ def proximity_matches(index: DataFrame, found: Windows, distance: int) -> DataFr
     held = lists.join(sized(others.select("term").distinct(), found.n_terms), "term", "left_semi").select(*KEY, "term", block.alias("block"), F.col("pos").alias("other"))
     met = asked.join(held, [*KEY, "term", "block"]).where(F.abs(F.col("pos") - F.col("other")) <= distance)
     counted = met.groupBy(*KEY, "wid", "pos").agg(F.count_distinct("term").alias("k"))
-    alone = at.join(n_others, "wid", "left_anti").distinct()
+    alone = at.join(n_others, "wid", "left_anti").select(*KEY, "wid", "pos").distinct()
     return counted.join(sized(n_others, found.n_windows), "wid").where("k = n_others").select(*KEY, "wid", "pos").union(alone)
 
 
