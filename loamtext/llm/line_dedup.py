@@ -30,9 +30,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -132,15 +132,37 @@ def merged_templates(lines: DataFrame, similarity: float = SIMILARITY, leaf_line
         if todo.isEmpty():
             break
 
-    def group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("template", ignore_index=True)
-        made = group_leaf(pdf["template"].to_numpy(np.int64), np.stack(pdf["blocks"].to_numpy()), similarity)
-        return pd.DataFrame({"template": pdf["template"], "merged": made})
-
     every = done[0]
     for more in done[1:]:
         every = every.union(more)
-    return written(every.groupBy("leaf").applyInPandas(group, "template long, merged long"), "merged")
+    sorted_leaves = every.repartition("leaf").sortWithinPartitions("leaf", "template")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for leaf in whole_leaves(batches):
+            templates = leaf.column("template").to_numpy()
+            blocks = leaf.column("blocks").combine_chunks().flatten().to_numpy().reshape(len(templates), -1)
+            made = group_leaf(templates, blocks, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(templates), pa.array(made)], ["template", "merged"])
+
+    return written(sorted_leaves.mapInArrow(run, "template long, merged long"), "merged")
+
+
+def whole_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one leaf at a time, from batches sorted by leaf."""
+    held: list[pa.Table] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        leaves = b.column("leaf").to_numpy()
+        edges = [0, *(np.nonzero(np.diff(leaves))[0] + 1).tolist(), len(leaves)]
+        table = pa.table(b)
+        for at, end in pairwise(edges):
+            if held and held[-1].column("leaf")[0].as_py() != leaves[at]:
+                yield pa.concat_tables(held)
+                held = []
+            held.append(table.slice(at, end - at))
+    if held:
+        yield pa.concat_tables(held)
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, leaf_lines: int = LEAF_LINES) -> DataFrame:
