@@ -1,4 +1,895 @@
 """Registered queries over the driver's tables and their DuckDB counterparts."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from loamtext.operators import chunks, evaluate, markup, minutes, parsing, segments
+from loamtext.operators import sentences as sent_ops
+from loamtext.plans import pipelines, prompts, views
+from loamtext.sources import backends, corpora
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def longs(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in cols})
+
+
+S = views.SENT
+ST = (views.SENT, views.TRUTH, views.PRED)
+ALL_UNITS = (*ST, views.UNITS)
+
+
+# --- sentences and spans -------------------------------------------------------------
+
+
+@query(views.sql('SELECT doc_id, sent_num, text, start, "end" FROM sent', S))
+def q_sentences(spark, sf):
+    return views.sentences(spark, sf)
+
+
+@query(
+    views.sql(
+        r"""
+SELECT doc_id, num::INT AS sent_num, regexp_replace(regexp_replace(raw, '\s+$', ''), '^\s+', '') AS text, start::INT AS start,
+  (start + length(regexp_replace(raw, '\s+$', '')))::INT AS "end"
+FROM (SELECT *, sum(length(raw)) OVER w - length(raw) AS start, sum(regexp_matches(raw, '\S')::INT) OVER w AS num FROM grouped WINDOW w AS (PARTITION BY doc_id ORDER BY g))
+WHERE regexp_matches(raw, '\S')""",
+        r"""
+nl AS (
+  SELECT doc_id, array_to_string(list_transform(range(len(l)), lambda i: CASE WHEN i % 3 = 0 THEN (i // 3 + 1) || '.' || chr(10) || l[i + 1] ELSE l[i + 1] END), chr(10)) AS text
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+np AS (
+  SELECT doc_id, unnest(range(len(p))) AS pos, unnest(p) AS raw
+  FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?]+\s+|\n+)', '\1' || chr(30), 'g'), chr(30)) AS p FROM nl)),
+nm AS (
+  SELECT *, coalesce(lag(regexp_matches(raw, '(?i)^\s*(?:[0-9]+(?:\.[0-9]+)*[.)]?|[a-z][.)]|[ivxlcdm]+[.)]|[-–—•*·]|§+\s*[0-9]*)\s*$'))
+    OVER (PARTITION BY doc_id ORDER BY pos), false) AS after FROM np),
+ng AS (SELECT *, sum((NOT after)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM nm),
+grouped AS (SELECT doc_id, g, string_agg(raw, '' ORDER BY pos) AS raw FROM ng GROUP BY doc_id, g)""",
+    )
+)
+def q_numbered_merge(spark, sf):
+    cut = sent_ops.pieces(views.numbered_lines(spark, sf))
+    return sent_ops.numbered(sent_ops.merge_markers(cut))
+
+
+@query(
+    views.sql(
+        """SELECT doc_id, md5(l) AS lines_md5, length(l)::BIGINT AS n_chars FROM (
+        SELECT doc_id, string_agg('S' || sent_num || ': "' || replace(text, '"', '\\"') || '"', chr(10) ORDER BY sent_num) AS l FROM sent WHERE sent_num <= 40 GROUP BY doc_id)""",
+        S,
+    )
+)
+def q_prompt_lines(spark, sf):
+    out = sent_ops.prompt_lines(views.sentences(spark, sf), 40)
+    return out.select("doc_id", F.md5("lines").alias("lines_md5"), F.char_length("lines").cast("long").alias("n_chars"))
+
+
+@query(
+    views.sql(
+        """SELECT p.doc_id, idx, p.start, p."end", md5(substring(d.text, p.start + 1, p."end" - p.start)) AS text_md5 FROM pred p JOIN documents d USING (doc_id)""",
+        S,
+        views.PRED,
+    )
+)
+def q_span_slice(spark, sf):
+    sents = views.sentences(spark, sf)
+    ranges = views.blocks(sents).drop("start", "end")
+    out = segments.annotate(ranges, sents, views.documents(spark, sf))
+    return out.select("doc_id", "idx", "start", "end", F.md5("text").alias("text_md5"))
+
+
+# --- chunks and requests -------------------------------------------------------------
+
+_PLAIN = """
+tot AS (SELECT doc_id, max(sent_num) AS n FROM sent GROUP BY 1),
+plain AS (
+  SELECT doc_id, k::INT AS chunk_no, (k * 15 + 1)::INT AS first_num, least(k * 15 + 20, n)::INT AS last_num
+  FROM (SELECT doc_id, n, unnest(range(CASE WHEN n > 20 THEN ceil((n - 20) / 15)::INT ELSE 0 END + 1)) AS k FROM tot))"""
+
+
+@query(views.sql("SELECT * FROM plain", S, _PLAIN))
+def q_chunks_plain(spark, sf):
+    return chunks.plain_chunks(chunks.counts(views.sentences(spark, sf)), 20, 5)
+
+
+@query(
+    views.sql(
+        "SELECT doc_id, chunk_no::INT AS chunk_no, (s + 1)::INT AS first_num, stop::INT AS last_num FROM walk",
+        S,
+        _PLAIN,
+        """
+hints AS (SELECT doc_id, sent_num - 1 AS b FROM sent WHERE sent_num % 7 = 3),
+walk AS (
+  SELECT doc_id, n, 0 AS chunk_no, 0 AS s,
+    coalesce((SELECT max(b) FROM hints h WHERE h.doc_id = t.doc_id AND n > 20 AND b >= greatest(10, least(20, n) - 15) AND b < 20), least(20, n)) AS stop,
+    (SELECT max(b) FROM hints h WHERE h.doc_id = t.doc_id AND n > 20 AND b >= greatest(10, least(20, n) - 15) AND b < 20) IS NOT NULL AS cut
+  FROM tot t
+  UNION ALL
+  SELECT doc_id, n, chunk_no, s,
+    coalesce((SELECT max(b) FROM hints h WHERE h.doc_id = q.doc_id AND e < n AND b >= greatest(s + 10, e - 15) AND b < e), e) AS stop,
+    (SELECT max(b) FROM hints h WHERE h.doc_id = q.doc_id AND e < n AND b >= greatest(s + 10, e - 15) AND b < e) IS NOT NULL AS cut
+  FROM (SELECT doc_id, n, chunk_no + 1 AS chunk_no, CASE WHEN cut THEN stop ELSE stop - 5 END AS s,
+          least(CASE WHEN cut THEN stop ELSE stop - 5 END + 20, n) AS e FROM walk WHERE cut OR stop < n) q)""",
+    )
+)
+def q_chunks_hinted(spark, sf):
+    sents = views.sentences(spark, sf)
+    return chunks.hinted_chunks(chunks.counts(sents), sents.where("sent_num % 7 = 3"), 20, 5)
+
+
+@query(views.sql("SELECT s.doc_id, chunk_no, sent_num, sent_num - first_num + 1 AS rel_num FROM sent s JOIN plain p ON s.doc_id = p.doc_id AND sent_num BETWEEN first_num AND last_num", S, _PLAIN))
+def q_chunk_sentences(spark, sf):
+    sents = views.sentences(spark, sf)
+    cut = chunks.plain_chunks(chunks.counts(sents), 20, 5)
+    return chunks.chunk_sentences(sents, cut).select("doc_id", "chunk_no", "sent_num", "rel_num")
+
+
+@query(views.sql("SELECT doc_id, sent_num, (row_number() OVER (PARTITION BY doc_id, sent_num % 3 ORDER BY sent_num))::INT AS rel_num FROM sent", S))
+def q_dense_numbers(spark, sf):
+    sents = views.sentences(spark, sf).withColumn("node", F.col("sent_num") % 3)
+    return chunks.dense_numbers(sents, "node").select("doc_id", "sent_num", "rel_num")
+
+
+@query(
+    views.sql(
+        """SELECT t.doc_id, t.idx, s.sent_num FROM (
+          SELECT t.doc_id, t.idx, instr(d.text, left(line, 12)) - 1 AS pos FROM truth t JOIN documents d USING (doc_id)) t
+        JOIN sent s ON s.doc_id = t.doc_id AND pos >= s.start AND pos < s."end" """,
+        S,
+        views.TRUTH,
+    )
+)
+def q_title_first(spark, sf):
+    titles = views.truth(spark, sf).select("doc_id", "idx", F.substring("line", 1, 12).alias("title"))
+    return chunks.title_hints(titles, views.documents(spark, sf), views.sentences(spark, sf))
+
+
+_ASK = {
+    "items": "The numbered sentences below are the minutes of a meeting. List its agenda items in order, each with its title and the ids of its first and last sentence. Ids run from S1 to S",
+}
+
+
+@query(
+    views.sql(
+        f"""SELECT doc_id, 'items/' || doc_id || '/0' AS request_id, md5('{prompts._EXAMPLE_ITEMS}' || '{_ASK["items"]}' || n || '. {prompts._ANSWER}' || chr(10) || chr(10) || l) AS prompt_md5
+        FROM (SELECT doc_id, count(*) AS n, string_agg('S' || sent_num || ': "' || replace(text, '"', '\\"') || '"', chr(10) ORDER BY sent_num) AS l FROM sent GROUP BY doc_id)""".replace(
+            prompts._EXAMPLE_ITEMS, prompts._EXAMPLE_ITEMS.replace("\n", "' || chr(10) || '")
+        ),
+        S,
+    )
+)
+def q_requests(spark, sf):
+    out = pipelines.item_requests(views.sentences(spark, sf), pipelines.Config())
+    return out.select("doc_id", "request_id", F.md5("prompt").alias("prompt_md5"))
+
+
+@query(
+    """SELECT 'r' || doc_id AS request_id, CASE WHEN doc_id % 4 <> 0 THEN 'x' || doc_id END AS response,
+    CASE WHEN doc_id % 4 = 0 THEN 'no recorded response' END AS error, 1 AS attempts FROM documents"""
+)
+def q_recorded(spark, sf):
+    docs = views.documents(spark, sf).select("doc_id", F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("request_id"))
+    told = docs.where("doc_id % 4 <> 0").select("request_id", F.concat(F.lit("x"), F.col("doc_id").cast("string")).alias("response"))
+    return backends.recorded(docs, told)
+
+
+@query("SELECT 'r' || doc_id AS request_id, '[]' AS response, NULL::VARCHAR AS error, 1 AS attempts FROM documents")
+def q_mock_backend(spark, sf):
+    asked = views.documents(spark, sf).select(F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("request_id"), F.col("text").alias("prompt"), F.lit(None).cast("string").alias("schema"))
+    return backends.run_requests(asked, backends.make_backend("mock"))
+
+
+# --- ground truth --------------------------------------------------------------------
+
+_SPANS = """
+located AS (
+  SELECT i.doc_id, i.item_no, i.title, f.first, f.last, d.text,
+    substring(d.text, 1, f.first) AS head, trim(regexp_replace(i.title, '^[0-9]+[.\\s]+', '')) AS bare
+  FROM ci i JOIN (SELECT doc_id, item_no, min(start) AS first, max("end") AS last FROM cs WHERE (doc_id + item_no) % 5 <> 0 GROUP BY ALL) f USING (doc_id, item_no)
+  JOIN cd d USING (doc_id)),
+found AS (
+  SELECT *, CASE WHEN title <> '' AND instr(reverse(head), reverse(title)) > 0 THEN length(head) - instr(reverse(head), reverse(title)) - length(title) + 1 END AS a,
+    CASE WHEN bare <> '' AND instr(reverse(head), reverse(bare)) > 0 THEN length(head) - instr(reverse(head), reverse(bare)) - length(bare) + 1 END AS b
+  FROM located),
+spans AS (
+  SELECT i.doc_id, i.item_no, i.title, (CASE WHEN f.first IS NOT NULL THEN coalesce(a, b, f.first) END)::INT AS start, f.last AS "end"
+  FROM ci i LEFT JOIN found f USING (doc_id, item_no)),
+body AS (SELECT doc_id, min(start) AS body_start, max("end") AS body_end FROM spans WHERE start IS NOT NULL GROUP BY 1),
+trimmed AS (
+  SELECT d.doc_id, CASE WHEN body_start IS NULL THEN 'none' WHEN body_start >= 0 AND body_end <= length(d.text) THEN 'trimmed' ELSE 'out of range' END AS body_status,
+    CASE WHEN body_start >= 0 AND body_end <= length(d.text) THEN substring(d.text, body_start + 1, body_end - body_start) ELSE d.text END AS text,
+    CASE WHEN body_start >= 0 AND body_end <= length(d.text) THEN body_start ELSE 0 END AS body_offset
+  FROM cd d LEFT JOIN body USING (doc_id))"""
+
+
+def _minutes(spark, sf):
+    """Items with spans; every fifth item has no placed subject, titles are of the turn before."""
+    docs, items, subjects = views.conversation_documents(spark, sf)
+    placed = subjects.where("(doc_id + item_no) % 5 <> 0")
+    return docs, items, subjects, minutes.item_spans(items, placed, docs)
+
+
+@query(views.sql("SELECT doc_id, item_no, title, start, \"end\" FROM spans", views.CONV, _SPANS))
+def q_item_spans(spark, sf):
+    return _minutes(spark, sf)[3]
+
+
+@query(
+    views.sql(
+        "SELECT doc_id, idx, pos::INT AS pos FROM (SELECT t.doc_id, t.idx, length(head) - instr(reverse(head), reverse(needle)) - length(needle) + 1 AS pos, instr(reverse(head), reverse(needle)) AS found FROM (SELECT t.doc_id, t.idx, left(t.line, 3) AS needle, substring(d.text, 1, t.\"end\") AS head FROM truth t JOIN documents d USING (doc_id)) t)",
+        views.TRUTH,
+    )
+)
+def q_title_last(spark, sf):
+    from loamtext.functions import last_position
+
+    joined = views.truth(spark, sf).join(views.documents(spark, sf), "doc_id")
+    return joined.select("doc_id", "idx", last_position(F.col("text"), F.substring("line", 1, 3), F.col("end")).cast("int").alias("pos"))
+
+
+@query(views.sql("SELECT * FROM body", views.CONV, _SPANS))
+def q_body_span(spark, sf):
+    return minutes.body_span(_minutes(spark, sf)[3])
+
+
+@query(views.sql("SELECT doc_id, CASE WHEN e IS NOT NULL THEN s END AS body_start, CASE WHEN s IS NOT NULL THEN e END AS body_end FROM (SELECT doc_id, min(start) FILTER (idx = 1) AS s, max(\"end\") FILTER (idx = 0) AS e FROM cs GROUP BY 1)", views.CONV))
+def q_plain_body_span(spark, sf):
+    _, _, subjects = views.conversation_documents(spark, sf)
+    holes = subjects.withColumn("start", F.when(F.col("idx") == 1, F.col("start"))).withColumn("end", F.when(F.col("idx") == 0, F.col("end")))
+    return minutes.plain_body_span(holes)
+
+
+@query(
+    views.sql(
+        "SELECT s.doc_id, item_no, s.start - body_offset AS start, s.\"end\" - body_offset AS \"end\", body_status, md5(t.text) AS text_md5 FROM spans s JOIN trimmed t USING (doc_id)",
+        views.CONV,
+        _SPANS,
+    )
+)
+def q_rebase(spark, sf):
+    docs, _, _, spans = _minutes(spark, sf)
+    trimmed = minutes.trim_to_body(docs, minutes.body_span(spans))
+    moved = minutes.rebase(spans, trimmed)
+    return moved.join(trimmed.select("doc_id", "body_status", F.md5("text").alias("text_md5")), "doc_id").select("doc_id", "item_no", "start", "end", "body_status", "text_md5")
+
+
+_SHIFTED = """
+shifted AS (
+  SELECT c.doc_id, item_no, idx, CASE WHEN (c.doc_id + item_no) % 7 = 6 THEN NULL ELSE start + ((c.doc_id + item_no) % 7)::INT - 2 END AS start,
+    CASE WHEN (c.doc_id + item_no) % 7 = 0 THEN start ELSE "end" END AS "end", c.text, d.text AS whole
+  FROM cs c JOIN cd d USING (doc_id))"""
+
+
+@query(
+    views.sql(
+        """SELECT doc_id, item_no, idx, CASE WHEN start IS NULL OR "end" IS NULL THEN 'null' WHEN start < 0 OR "end" > length(whole) OR start >= "end" THEN 'invalid'
+          WHEN text = '' THEN 'no text' WHEN cut = text THEN 'exact' WHEN contains(cut, text) OR contains(text, cut) THEN 'contained' ELSE 'mismatch' END AS status
+        FROM (SELECT *, CASE WHEN start < 0 OR "end" > length(whole) OR start >= "end" THEN '' ELSE substring(whole, start + 1, "end" - start) END AS cut FROM shifted)""",
+        views.CONV,
+        _SHIFTED,
+    )
+)
+def q_offset_status(spark, sf):
+    docs, _, subjects = views.conversation_documents(spark, sf)
+    k = (F.col("doc_id") + F.col("item_no")) % 7
+    moved = subjects.withColumns({"_s": F.when(k != 6, F.col("start") + k.cast("int") - 2), "_e": F.when(k == 0, F.col("start")).otherwise(F.col("end"))})
+    moved = moved.select("doc_id", "item_no", "idx", F.col("_s").alias("start"), F.col("_e").alias("end"), "text")
+    return minutes.offset_status(moved, docs).select("doc_id", "item_no", "idx", "status")
+
+
+def _sections(spark, sf):
+    return markup.sections(markup.parse_lines(views.marked_up(spark, sf)))
+
+
+@query(views.sql('SELECT doc_id, sec_no, depth, title, start, "end" FROM secs', views.MARKUP))
+def q_markup_sections(spark, sf):
+    return _sections(spark, sf)
+
+
+@query(views.sql("SELECT doc_id, md5(string_agg(line, '' ORDER BY no)) AS text_md5 FROM mo GROUP BY doc_id", views.MARKUP))
+def q_markup_text(spark, sf):
+    return markup.full_text(markup.parse_lines(views.marked_up(spark, sf))).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query(views.sql('SELECT doc_id, item_no, title, CASE WHEN item_no = 1 THEN 0 ELSE start END AS start, "end" FROM raw_items', views.MARKUP))
+def q_markup_items(spark, sf):
+    return markup.items(_sections(spark, sf))
+
+
+_EXTEND = "CASE WHEN item_no = 1 AND count(*) OVER (PARTITION BY doc_id, item_no) = 1 THEN 0 ELSE start END AS start"
+
+
+@query(
+    views.sql(
+        f"""SELECT doc_id, item_no, (row_number() OVER (PARTITION BY doc_id, item_no ORDER BY sec_no) - 1)::INT AS idx, {_EXTEND}, "end" FROM (
+          SELECT doc_id, item_no, sec_no, start, "end" FROM below WHERE depth > 2
+          UNION ALL SELECT doc_id, item_no, 0, start, "end" FROM raw_items r WHERE NOT EXISTS (SELECT 1 FROM below b WHERE b.doc_id = r.doc_id AND b.item_no = r.item_no AND depth > 2))""",
+        views.MARKUP,
+    )
+)
+def q_markup_flat(spark, sf):
+    return markup.flat_subjects(_sections(spark, sf))
+
+
+@query(
+    views.sql(
+        f"""SELECT doc_id, item_no, (row_number() OVER w - 1)::INT AS idx, {_EXTEND}, greatest("end", coalesce(lead(start) OVER w, "end")) AS "end" FROM (
+          SELECT doc_id, item_no, sec_no, start, "end" FROM lf UNION ALL
+          SELECT r.doc_id, r.item_no, 0, r.start, coalesce(l.s, r."end") FROM raw_items r LEFT JOIN (SELECT doc_id, item_no, min(start) AS s FROM lf GROUP BY ALL) l USING (doc_id, item_no)
+          WHERE l.s IS NULL OR l.s > r.start) WINDOW w AS (PARTITION BY doc_id, item_no ORDER BY sec_no)""",
+        views.MARKUP,
+        'lf AS (SELECT * FROM (SELECT *, coalesce(lead(depth) OVER (PARTITION BY doc_id, item_no ORDER BY sec_no) <= depth, true) AS leaf FROM below WHERE depth > 2) WHERE leaf)',
+    )
+)
+def q_markup_leaf(spark, sf):
+    return markup.leaf_subjects(_sections(spark, sf))
+
+
+@query(
+    views.sql(
+        """SELECT r.doc_id, r.item_no, title, CASE WHEN r.item_no = 1 THEN 0 ELSE start END AS start, "end", coalesce(n, 0) AS n_subsections, coalesce(t, '') AS titles FROM raw_items r
+        LEFT JOIN (SELECT doc_id, item_no, count(*) AS n, string_agg(title || ':' || depth, '|' ORDER BY sec_no) AS t FROM below WHERE depth > 2 GROUP BY ALL) b USING (doc_id, item_no)""",
+        views.MARKUP,
+    )
+)
+def q_markup_tree(spark, sf):
+    out = markup.section_tree(_sections(spark, sf))
+    shown = F.array_join(F.transform("subsections", lambda x: F.concat(x.title, F.lit(":"), x.depth.cast("string"))), "|")
+    return out.select("doc_id", "item_no", "title", "start", "end", F.size("subsections").cast("long").alias("n_subsections"), shown.alias("titles"))
+
+
+# --- answers -------------------------------------------------------------------------
+
+
+@query(views.sql("SELECT doc_id, idx, 'T' || idx AS title, start_num, end_num FROM pred WHERE doc_id % 6 <> 5", S, views.PRED))
+def q_parse_styles(spark, sf):
+    parsed = parsing.parse_responses(views.responses(spark, sf))
+    return parsing.parsed_items(parsed, "doc_id").select("doc_id", "idx", "title", "start_num", "end_num")
+
+
+@query(views.sql("SELECT DISTINCT 'r' || doc_id AS request_id FROM pred WHERE doc_id % 6 = 5", S, views.PRED))
+def q_correction_requests(spark, sf):
+    return parsing.correction_requests(parsing.parse_responses(views.responses(spark, sf))).select("request_id")
+
+
+@query(views.sql("SELECT doc_id, idx, 'bad end_id' AS error FROM pred WHERE idx % 4 = 1 UNION ALL SELECT doc_id, idx, 'missing title' FROM pred WHERE idx % 4 = 2", S, views.PRED))
+def q_structural_errors(spark, sf):
+    item = F.when(F.col("idx") % 4 == 1, '{"item_title": "t", "start_id": "S1", "end_id": "Sx"}').when(F.col("idx") % 4 == 2, '{"start_id": "S1", "end_id": "S2"}').otherwise('{"section_title": "t", "start_id": "S1", "end_id": "S2"}')
+    listed = views.pred(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", item.alias("j")))).alias("l"))
+    told = listed.select("doc_id", F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x.j), ","), F.lit("]")).alias("response"))
+    return parsing.structural_errors(parsing.parse_responses(told, "sections"), "doc_id")
+
+
+@query(
+    views.sql(
+        """SELECT doc_id, idx, unnest(list_filter([
+            CASE WHEN start_num < 1 OR start_num > n THEN 'start_id out of range' END, CASE WHEN end_num < 1 OR end_num > n THEN 'end_id out of range' END,
+            CASE WHEN start_num > end_num THEN 'start_id after end_id' END,
+            CASE WHEN lead(start_num) OVER (PARTITION BY doc_id ORDER BY start_num, idx) <= end_num THEN 'overlaps the next' END], lambda e: e IS NOT NULL)) AS error
+        FROM overlapping JOIN (SELECT doc_id, max(sent_num) AS n FROM sent GROUP BY 1) USING (doc_id)""",
+        S,
+        views.PRED,
+        views.OVERLAPPING,
+    )
+)
+def q_validate(spark, sf):
+    rows = views.overlapping(spark, sf).join(chunks.counts(views.sentences(spark, sf)), "doc_id")
+    return segments.validate(rows, "n")
+
+
+@query(views.sql("SELECT doc_id, idx, start_num + 10 AS start_num, end_num + 10 AS end_num FROM pred", S, views.PRED))
+def q_rebase_ids(spark, sf):
+    rows = views.pred(spark, sf).withColumn("first", F.lit(11))
+    return segments.rebase(rows, "first").select("doc_id", "idx", "start_num", "end_num")
+
+
+@query(
+    views.sql(
+        "SELECT doc_id, idx, greatest(1, least(start_num, n)) * 2 AS start_num, greatest(1, least(end_num, n)) * 2 AS end_num FROM overlapping JOIN (SELECT doc_id, (max(sent_num) // 2 + 1)::INT AS n FROM sent GROUP BY 1) USING (doc_id)",
+        S,
+        views.PRED,
+        views.OVERLAPPING,
+    )
+)
+def q_rebase_clamped(spark, sf):
+    n = chunks.counts(views.sentences(spark, sf)).select("doc_id", F.transform(F.sequence(F.lit(1), F.expr("cast(n div 2 as int)") + 1), lambda k: k * 2).alias("numbers"))
+    rows = views.overlapping(spark, sf).join(n, "doc_id")
+    return segments.rebase_clamped(rows, "numbers").select("doc_id", "idx", "start_num", "end_num")
+
+
+# --- repair and assembly -------------------------------------------------------------
+
+
+@query(
+    views.sql(
+        """SELECT doc_id, idx, start_num, CASE WHEN nx - end_num - 1 BETWEEN 1 AND 3 THEN nx - 1 ELSE end_num END AS end_num
+        FROM (SELECT *, lead(start_num) OVER (PARTITION BY doc_id ORDER BY start_num, idx) AS nx FROM gappy)""",
+        S,
+        views.PRED,
+        views.GAPPY,
+    )
+)
+def q_gap_small(spark, sf):
+    return segments.fix_small_gaps(views.gappy(spark, sf))
+
+
+@query(
+    views.sql(
+        """SELECT doc_id, idx, CASE WHEN r = 1 THEN 1 ELSE start_num END AS start_num, CASE WHEN r = c THEN n ELSE greatest(end_num, nx - 1) END AS end_num
+        FROM (SELECT g.*, n, lead(start_num) OVER w AS nx, row_number() OVER w AS r, count(*) OVER (PARTITION BY g.doc_id) AS c
+          FROM gappy g JOIN (SELECT doc_id, max(sent_num) AS n FROM sent GROUP BY 1) USING (doc_id) WHERE idx % 3 <> 1 WINDOW w AS (PARTITION BY g.doc_id ORDER BY start_num, idx))""",
+        S,
+        views.PRED,
+        views.GAPPY,
+    )
+)
+def q_gap_full(spark, sf):
+    rows = views.gappy(spark, sf).where("idx % 3 <> 1").join(chunks.counts(views.sentences(spark, sf)), "doc_id").withColumn("one", F.lit(1))
+    return segments.fix_all_gaps(rows, "one", "n").select("doc_id", "idx", "start_num", "end_num")
+
+
+@query(
+    views.sql(
+        """SELECT doc_id, min(start_num) AS start_num, max(end_num) AS end_num, string_agg(theme, '; ' ORDER BY start_num, idx) AS theme, count(*) AS n_merged FROM (
+          SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY start_num, idx) AS grp FROM (
+            SELECT *, CASE WHEN start_num <= max(end_num) OVER (PARTITION BY doc_id ORDER BY start_num, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM overlapping))
+        GROUP BY doc_id, grp""",
+        S,
+        views.PRED,
+        views.OVERLAPPING,
+    )
+)
+def q_overlap_merge(spark, sf):
+    return segments.merge_overlaps(views.overlapping(spark, sf)).drop("grp")
+
+
+@query(
+    views.sql(
+        "SELECT doc_id, (grp - 1)::INT AS idx, min(start_num) AS start_num, max(end_num) AS end_num, arg_min(title, (-length(title), k)) AS title FROM walk GROUP BY doc_id, grp",
+        S,
+        views.PRED,
+        views.OVERLAPPING,
+        """
+ord AS (SELECT *, repeat('x', (idx * 7 % 5)::INT) || idx AS title, row_number() OVER (PARTITION BY doc_id ORDER BY start_num, idx) AS k FROM overlapping),
+walk AS (
+  SELECT doc_id, k, start_num, end_num, title, start_num AS anchor, 1 AS grp FROM ord WHERE k = 1
+  UNION ALL
+  SELECT o.doc_id, o.k, o.start_num, o.end_num, o.title, CASE WHEN o.start_num - w.anchor <= 12 THEN w.anchor ELSE o.start_num END,
+    CASE WHEN o.start_num - w.anchor <= 12 THEN w.grp ELSE w.grp + 1 END
+  FROM walk w JOIN ord o ON o.doc_id = w.doc_id AND o.k = w.k + 1)""",
+    )
+)
+def q_chunk_merge(spark, sf):
+    rows = views.overlapping(spark, sf).withColumn("title", F.concat(F.repeat(F.lit("x"), (F.col("idx") * 7 % 5)), F.col("idx").cast("string")))
+    return segments.merge_anchored(rows, 12)
+
+
+_COVER = """
+cov AS (
+  SELECT doc_id, sum(greatest(0, "end" - greatest(start, coalesce(m, 0)))) AS covered FROM (
+    SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m
+    FROM (SELECT doc_id, start, "end" + idx % 3 * 20 AS "end" FROM pred WHERE idx % 4 <> 3))
+  GROUP BY 1)"""
+
+
+@query(
+    views.sql(
+        "SELECT d.doc_id, coalesce(covered, 0)::BIGINT AS covered, CASE WHEN length(text) > 0 THEN coalesce(covered, 0) / length(text) ELSE 0 END AS coverage FROM documents d LEFT JOIN cov USING (doc_id)",
+        S,
+        views.PRED,
+        _COVER,
+    )
+)
+def q_coverage(spark, sf):
+    rows = views.pred(spark, sf).where("idx % 4 <> 3").withColumn("end", F.col("end") + F.col("idx") % 3 * 20)
+    return longs(segments.coverage(rows, views.documents(spark, sf)), "covered")
+
+
+@query(
+    views.sql(
+        """SELECT doc_id, item_no, 0 AS idx, start_num, end_num, theme, is_fallback FROM (
+          SELECT doc_id, idx AS item_no, start_num, end_num, CASE WHEN idx % 2 = 0 THEN 's' ELSE 'T' || idx END AS theme, idx % 2 = 1 AS is_fallback FROM pred)""",
+        S,
+        views.PRED,
+    )
+)
+def q_fallback_subjects(spark, sf):
+    items = views.pred(spark, sf).select("doc_id", F.col("idx").alias("item_no"), "start_num", "end_num", F.concat(F.lit("T"), F.col("idx").cast("string")).alias("title"))
+    subjects = items.where("item_no % 2 = 0").select("doc_id", "item_no", F.lit(0).alias("idx"), "start_num", "end_num", F.lit("s").alias("theme"))
+    return segments.fallback_subjects(items, subjects)
+
+
+@query(
+    views.sql(
+        """SELECT doc_id, idx, start_num, end_num, 'T' AS title, false AS is_fallback FROM pred WHERE doc_id % 3 <> 0
+        UNION ALL SELECT doc_id, 0, min(sent_num), max(sent_num), 'Document', true FROM sent WHERE doc_id % 3 = 0 GROUP BY doc_id""",
+        S,
+        views.PRED,
+    )
+)
+def q_fallback_document(spark, sf):
+    sents = views.sentences(spark, sf)
+    items = views.blocks(sents).where("doc_id % 3 <> 0").withColumn("title", F.lit("T"))
+    return segments.fallback_document(items, sents)
+
+
+@query(views.sql("SELECT doc_id, idx, CASE WHEN idx = 1 THEN 1 ELSE start_num END AS start_num, end_num FROM pred WHERE idx > 0", S, views.PRED))
+def q_preface(spark, sf):
+    return segments.extend_preface(views.pred(spark, sf).where("idx > 0").drop("start", "end"))
+
+
+def halving_answers(requests: DataFrame) -> DataFrame:
+    """A recorded answer to any request: its sentences in two halves, or none below six."""
+    n = F.regexp_extract("prompt", r"Ids run from S1 to S([0-9]+)", 1).try_cast("int")
+    half = F.floor(n / 2).cast("string")
+    two = F.concat(
+        F.lit('[{"section_title": "A", "start_id": "S1", "end_id": "S'), half, F.lit('"}, {"section_title": "B", "start_id": "S'), (F.floor(n / 2) + 1).cast("string"), F.lit('", "end_id": "S'), n.cast("string"), F.lit('"}]')
+    )
+    return requests.select("request_id", F.when(n < 6, "[]").otherwise(two).alias("response"))
+
+
+_TREE = """
+tree AS (
+  SELECT doc_id, '' AS path, 1 AS s, max(sent_num) AS e, 0 AS depth, '' AS title FROM sent GROUP BY doc_id
+  UNION ALL
+  SELECT doc_id, path || '/' || k, CASE WHEN k = 0 THEN s ELSE s + (e - s + 1) // 2 END, CASE WHEN k = 0 THEN s + (e - s + 1) // 2 - 1 ELSE e END, depth + 1, CASE WHEN k = 0 THEN 'A' ELSE 'B' END
+  FROM tree, (SELECT unnest([0, 1]) AS k) WHERE depth < 3 AND e - s + 1 >= 6)"""
+
+
+@query(views.sql("SELECT doc_id, substring(path, 2) AS path, s::INT AS start_num, e::INT AS end_num, title FROM tree WHERE depth > 0", S, _TREE))
+def q_tree_levels(spark, sf):
+    tree = pipelines.section_tree(views.sentences(spark, sf), halving_answers, pipelines.Config(max_depth=3))
+    return tree.withColumn("path", F.array_join(F.transform("path", lambda p: p.cast("string")), "/"))
+
+
+@query(
+    views.sql(
+        "SELECT doc_id, count(*) FILTER (e - s + 1 < 6 OR depth = 3) AS n_leaves, max(depth)::INT AS depth FROM tree WHERE depth > 0 GROUP BY doc_id", S, _TREE
+    )
+)
+def q_tree_leaves(spark, sf):
+    tree = pipelines.kept(pipelines.section_tree(views.sentences(spark, sf), halving_answers, pipelines.Config(max_depth=3)))
+    ends = segments.leaves(tree).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_leaves"))
+    return ends.join(segments.tree_depth(tree), "doc_id")
+
+
+@query(
+    views.sql(
+        """SELECT doc_id, count(*) AS n_items, string_agg((item_no + 1) || ':' || title || ':' || subjects, '|' ORDER BY item_no) AS shown FROM (
+          SELECT i.doc_id, i.item_no, i.title, coalesce(s, '') AS subjects FROM ci i
+          LEFT JOIN (SELECT doc_id, item_no, string_agg(start || '-' || "end", ',' ORDER BY idx) AS s FROM cs WHERE item_no % 2 = 0 GROUP BY ALL) USING (doc_id, item_no)) GROUP BY doc_id""",
+        views.CONV,
+    )
+)
+def q_nested(spark, sf):
+    docs, items, subjects = views.conversation_documents(spark, sf)
+    spans = minutes.item_spans(items, subjects, docs).withColumn("text", F.lit(""))
+    some = subjects.where("item_no % 2 = 0").withColumns({"theme": F.lit(""), "topics": F.array().cast("array<string>")})
+    out = segments.nested(spans, some)
+    inner = lambda i: F.array_join(F.transform(i.subjects, lambda s: F.concat(s.start.cast("string"), F.lit("-"), s.end.cast("string"))), ",")
+    shown = F.array_join(F.transform("agenda_items", lambda i: F.concat(i.item_id.cast("string"), F.lit(":"), i.item_title, F.lit(":"), inner(i))), "|")
+    return out.select("doc_id", F.size("agenda_items").cast("long").alias("n_items"), shown.alias("shown"))
+
+
+@query(
+    views.sql(
+        """SELECT d.doc_id, coalesce(covered, 0)::BIGINT AS covered, CASE WHEN length(text) > 0 THEN coalesce(covered, 0) / length(text) ELSE 0 END AS coverage,
+          (SELECT count(*) FROM sent s WHERE s.doc_id = d.doc_id) AS num_sentences, (SELECT count(*) FROM truth s WHERE s.doc_id = d.doc_id) AS num_items,
+          (SELECT count(*) FROM pred s WHERE s.doc_id = d.doc_id AND idx % 4 <> 3) AS num_subjects
+        FROM documents d LEFT JOIN cov USING (doc_id)""",
+        *ST,
+        _COVER,
+    )
+)
+def q_statistics(spark, sf):
+    rows = views.pred(spark, sf).where("idx % 4 <> 3").withColumn("end", F.col("end") + F.col("idx") % 3 * 20)
+    return longs(segments.statistics(views.documents(spark, sf), views.sentences(spark, sf), views.truth(spark, sf), rows), "covered")
+
+
+# --- evaluation ----------------------------------------------------------------------
+
+
+def _unit_pair(spark, sf):
+    sents = views.sentences(spark, sf)
+    return evaluate.to_sentence_units(views.pred(spark, sf), sents), evaluate.to_sentence_units(views.truth(spark, sf), sents)
+
+
+@query(views.sql('SELECT doc_id, idx, start, "end" FROM truth_u', *ALL_UNITS))
+def q_sent_index(spark, sf):
+    return _unit_pair(spark, sf)[1]
+
+
+@query(
+    views.sql(
+        """SELECT t.doc_id, t.idx, coalesce(a.i, 0) AS start, greatest(coalesce(a.i, 0), coalesce(b.i, 0)) AS "end"
+        FROM truth t ASOF LEFT JOIN sl a ON t.doc_id = a.doc_id AND t.start >= a.start ASOF LEFT JOIN sl b ON t.doc_id = b.doc_id AND t."end" >= b.start""",
+        *ST,
+        "sl AS (SELECT doc_id, sent_num - 1 AS i, (sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY sent_num) - length(text) - 1) AS start FROM sent)",
+    )
+)
+def q_sent_index_lengths(spark, sf):
+    placed = evaluate.sentence_starts_from_lengths(views.sentences(spark, sf))
+    return evaluate.to_sentence_units(views.truth(spark, sf), placed)
+
+
+@query(views.sql("SELECT doc_id, p, g FROM matched", *ALL_UNITS, views.MATCHED))
+def q_match(spark, sf):
+    return evaluate.match_boundaries(*_unit_pair(spark, sf))
+
+
+_PRF = """
+sizes AS (
+  SELECT doc_id, sum(p)::BIGINT AS num_predicted, sum(g)::BIGINT AS num_ground_truth
+  FROM (SELECT doc_id, 1 AS p, 0 AS g FROM pred UNION ALL SELECT doc_id, 0, 1 FROM truth) GROUP BY 1),
+prf AS (
+  SELECT doc_id, num_predicted, num_ground_truth, tp AS true_positives, num_predicted - tp AS false_positives, num_ground_truth - tp AS false_negatives,
+    CASE WHEN num_predicted > 0 THEN tp / num_predicted ELSE 0 END AS boundary_precision,
+    CASE WHEN num_ground_truth > 0 THEN tp / num_ground_truth ELSE 0 END AS boundary_recall
+  FROM (SELECT s.*, coalesce(tp, 0) AS tp FROM sizes s LEFT JOIN (SELECT doc_id, count(*) AS tp FROM matched GROUP BY 1) USING (doc_id))),
+scored AS (
+  SELECT *, CASE WHEN boundary_precision + boundary_recall > 0 THEN 2 * boundary_precision * boundary_recall / (boundary_precision + boundary_recall) ELSE 0 END AS boundary_f1 FROM prf)"""
+
+
+def _scores(spark, sf):
+    p, g = _unit_pair(spark, sf)
+    return evaluate.precision_recall(evaluate.match_boundaries(p, g), evaluate.counts(p, g))
+
+
+@query(views.sql("SELECT * FROM scored", *ALL_UNITS, views.MATCHED, _PRF))
+def q_prf(spark, sf):
+    return _scores(spark, sf)
+
+
+@query(views.sql("SELECT p.doc_id, p.idx AS p, coalesce(max(iou), 0) AS iou FROM pred p LEFT JOIN ov o ON o.doc_id = p.doc_id AND o.p = p.idx GROUP BY ALL", *ST, views.IOU))
+def q_iou(spark, sf):
+    return evaluate.best_iou(views.pred(spark, sf), views.truth(spark, sf))
+
+
+@query(views.sql("SELECT doc_id, p, g FROM iou_matched", *ST, views.IOU, views.IOU_MATCHED))
+def q_iou_match(spark, sf):
+    return evaluate.match_by_iou(views.pred(spark, sf), views.truth(spark, sf))
+
+
+def _masses_sql(segs: str, name: str) -> str:
+    return f"""
+{name} AS (
+  SELECT doc_id, list_filter(flatten(list([greatest(start - seen, 0), greatest("end" - greatest(start, seen), 0)] ORDER BY start, idx)) || [max(total) - max("end")], lambda m: m > 0) AS m FROM (
+    SELECT s.doc_id, idx, start, "end", total, coalesce(max("end") OVER (PARTITION BY s.doc_id ORDER BY start, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen
+    FROM {segs} s JOIN mass_total USING (doc_id)) GROUP BY doc_id)"""
+
+
+_MASSES = (
+    'mass_total AS (SELECT p.doc_id, greatest(pe, ge) AS total FROM (SELECT doc_id, max("end") AS pe FROM pred_u GROUP BY 1) p JOIN (SELECT doc_id, max("end") AS ge FROM truth_u GROUP BY 1) g USING (doc_id) WHERE greatest(pe, ge) > 0)',
+    _masses_sql("truth_u", "mass_ref"),
+    _masses_sql("pred_u", "mass_hyp"),
+    "mass_both AS (SELECT r.doc_id, r.m AS ref, h.m AS hyp, list_sum(r.m)::INT AS n FROM mass_ref r JOIN mass_hyp h USING (doc_id))",
+)
+
+
+@query(views.sql("SELECT doc_id, array_to_string(ref, ',') AS ref, array_to_string(hyp, ',') AS hyp FROM mass_both", *ALL_UNITS, *_MASSES))
+def q_masses(spark, sf):
+    out = evaluate.mass_pairs(*_unit_pair(spark, sf))
+    shown = lambda c: F.array_join(F.transform(c, lambda m: m.cast("string")), ",").alias(c)
+    return out.select("doc_id", shown("ref"), shown("hyp"))
+
+
+_BORDERS = """
+edges AS (
+  SELECT doc_id, n, greatest(2, round(n / len(ref) / 2)::INT) AS k,
+    list_transform(range(1, len(ref)), lambda i: list_sum(ref[1:i])::INT) AS rb, list_transform(range(1, len(hyp)), lambda i: list_sum(hyp[1:i])::INT) AS hb
+  FROM mass_both WHERE len(ref) > 0 AND len(hyp) > 0)"""
+
+
+@query(
+    views.sql(
+        """SELECT b.doc_id, coalesce(avg(((r = 0) <> (h = 0))::INT), 1.0) AS pk, coalesce(avg((r <> h)::INT), 1.0) AS windowdiff
+        FROM mass_both b LEFT JOIN (
+          SELECT doc_id, len(list_filter(rb, lambda x: x > i AND x <= i + k)) AS r, len(list_filter(hb, lambda x: x > i AND x <= i + k)) AS h
+          FROM (SELECT *, unnest(range(0, n - k)) AS i FROM edges)) USING (doc_id) GROUP BY b.doc_id""",
+        *ALL_UNITS,
+        *_MASSES,
+        _BORDERS,
+    )
+)
+def q_windows(spark, sf):
+    return evaluate.window_metrics(evaluate.mass_pairs(*_unit_pair(spark, sf)))
+
+
+@query(
+    views.sql(
+        """SELECT doc_id, matches::INT AS matches, near::INT AS near, (missed + extra)::INT AS additions,
+          CASE WHEN missed + extra + near + matches > 0 THEN 1 - (missed + extra + 0.5::DOUBLE * near) / (missed + extra + near + matches) ELSE 1 END AS boundary_similarity,
+          CASE WHEN matches + near + extra > 0 THEN (matches + 0.5::DOUBLE * near) / (matches + near + extra) ELSE 0 END AS bed_precision,
+          CASE WHEN matches + near + missed > 0 THEN (matches + 0.5::DOUBLE * near) / (matches + near + missed) ELSE 0 END AS bed_recall
+        FROM (SELECT doc_id, m AS matches, near, len(r) - near AS missed, len(h) - near AS extra FROM done)""",
+        *ALL_UNITS,
+        *_MASSES,
+        _BORDERS,
+        """
+apart AS (
+  SELECT doc_id, len(list_intersect(rb, hb)) AS m, list_sort(list_filter(rb, lambda x: NOT list_contains(hb, x))) AS r, list_sort(list_filter(hb, lambda x: NOT list_contains(rb, x))) AS h
+  FROM edges),
+pairing AS (
+  SELECT doc_id, m, r, h, 0 AS i, []::INT[] AS used FROM apart
+  UNION ALL
+  SELECT doc_id, m, r, h, i + 1, CASE WHEN len(c) > 0 THEN list_append(used, c[1]) ELSE used END
+  FROM (SELECT *, list_filter(h, lambda y: abs(y - r[i + 1]) = 1 AND NOT list_contains(used, y)) AS c FROM pairing WHERE i < len(r))),
+done AS (SELECT doc_id, m, r, h, len(used) AS near FROM pairing WHERE i = len(r))""",
+    )
+)
+def q_border_edits(spark, sf):
+    return evaluate.border_edits(evaluate.mass_pairs(*_unit_pair(spark, sf))).drop("bed_fmeasure")
+
+
+_THEMED = """
+full_docs AS (SELECT doc_id, text AS whole, lang, source FROM documents),
+tp AS (SELECT p.doc_id, idx, trim(lower(left(substring(whole, start + 1, "end" - start), 10)), ' ' || chr(10)) AS theme, [lang] AS topics FROM pred p JOIN full_docs USING (doc_id)),
+tg AS (SELECT p.doc_id, idx, trim(lower(left(substring(whole, start + 1, "end" - start), 10)), ' ' || chr(10)) AS theme, list_distinct([lang, source]) AS topics FROM truth p JOIN full_docs USING (doc_id)),
+pairs AS (
+  SELECT m.doc_id, a.theme AS a, b.theme AS b, a.topics AS ta, b.topics AS tb
+  FROM iou_matched m JOIN tp a ON a.doc_id = m.doc_id AND a.idx = m.p JOIN tg b ON b.doc_id = m.doc_id AND b.idx = m.g),
+both_sides AS (SELECT DISTINCT doc_id FROM pred WHERE doc_id IN (SELECT doc_id FROM truth))"""
+
+
+@query(
+    views.sql(
+        """SELECT doc_id, coalesce(n, 0)::BIGINT AS matched, coalesce(k, 0)::BIGINT AS agreeing, CASE WHEN n > 0 THEN k / n ELSE 0 END AS theme_accuracy
+        FROM both_sides LEFT JOIN (SELECT doc_id, count(*) AS n, sum((contains(a, b) OR contains(b, a))::INT) AS k FROM pairs GROUP BY 1) USING (doc_id)""",
+        *ST,
+        views.IOU,
+        views.IOU_MATCHED,
+        _THEMED,
+    )
+)
+def q_theme(spark, sf):
+    return longs(evaluate.theme_accuracy(*views.themed(spark, sf)), "matched", "agreeing")
+
+
+@query(
+    views.sql(
+        """SELECT doc_id, p AS topic_precision, r AS topic_recall, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS topic_f1 FROM (
+          SELECT doc_id, CASE WHEN a > 0 THEN x / a ELSE 0 END AS p, CASE WHEN b > 0 THEN x / b ELSE 0 END AS r
+          FROM both_sides LEFT JOIN (SELECT doc_id, sum(len(list_intersect(ta, tb))) AS x, sum(len(ta)) AS a, sum(len(tb)) AS b FROM pairs GROUP BY 1) USING (doc_id))""",
+        *ST,
+        views.IOU,
+        views.IOU_MATCHED,
+        _THEMED,
+    )
+)
+def q_topics(spark, sf):
+    return evaluate.topic_scores(*views.themed(spark, sf))
+
+
+@query(
+    views.sql(
+        """SELECT s.doc_id, num_predicted, num_ground_truth, true_positives, false_positives, false_negatives, boundary_precision, boundary_recall, boundary_f1, round(avg_iou, 9) AS avg_iou, 'agenda_items' AS stage
+        FROM scored s LEFT JOIN (
+          SELECT doc_id, avg(iou) AS avg_iou FROM (SELECT p.doc_id, p.idx, coalesce(max(iou), 0) AS iou FROM pred p LEFT JOIN ov o ON o.doc_id = p.doc_id AND o.p = p.idx GROUP BY ALL)
+          WHERE doc_id IN (SELECT doc_id FROM truth) GROUP BY 1) USING (doc_id)""",
+        *ALL_UNITS,
+        views.IOU,
+        views.MATCHED,
+        _PRF,
+    )
+)
+def q_eval_items(spark, sf):
+    out = evaluate.evaluate_level(views.pred(spark, sf).select("doc_id", "idx", "start", "end"), views.truth(spark, sf).select("doc_id", "idx", "start", "end"), views.sentences(spark, sf))
+    return out.drop("pk", "windowdiff", "boundary_similarity", "bed_precision", "bed_recall", "bed_fmeasure").withColumn("avg_iou", F.round("avg_iou", 9))
+
+
+@query(
+    views.sql(
+        """SELECT doc_id, a::BIGINT AS pred_items, b::BIGINT AS gt_items, c::BIGINT AS pred_subjects, d::BIGINT AS gt_subjects,
+          CASE WHEN a > 0 THEN c / a ELSE 0 END AS avg_subjects_pred, CASE WHEN b > 0 THEN d / b ELSE 0 END AS avg_subjects_gt FROM (
+          SELECT doc_id, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(d) AS d FROM (
+            SELECT doc_id, 1 AS a, 0 AS b, 0 AS c, 0 AS d FROM pred WHERE idx % 3 = 0 UNION ALL SELECT doc_id, 0, 1, 0, 0 FROM truth WHERE idx % 4 = 0
+            UNION ALL SELECT doc_id, 0, 0, 1, 0 FROM pred UNION ALL SELECT doc_id, 0, 0, 0, 1 FROM truth) GROUP BY 1)""",
+        *ST,
+    )
+)
+def q_eval_overall(spark, sf):
+    p, g = views.pred(spark, sf), views.truth(spark, sf)
+    return evaluate.overall(p.where("idx % 3 = 0"), g.where("idx % 4 = 0"), p, g)
+
+
+@query(
+    views.sql(
+        """SELECT source, lang, count(*) AS documents, sum(true_positives)::BIGINT AS true_positives, CASE WHEN sum(num_predicted) > 0 THEN sum(true_positives) / sum(num_predicted) ELSE 0 END AS micro_precision,
+          CASE WHEN sum(num_ground_truth) > 0 THEN sum(true_positives) / sum(num_ground_truth) ELSE 0 END AS micro_recall, round(avg(boundary_f1), 9) AS macro_f1
+        FROM scored JOIN documents USING (doc_id) GROUP BY ROLLUP (source, lang)""",
+        *ALL_UNITS,
+        views.MATCHED,
+        _PRF,
+    )
+)
+def q_eval_rollup(spark, sf):
+    facets = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "lang")
+    out = evaluate.corpus_summary(_scores(spark, sf).join(facets, "doc_id"), "source", "lang")
+    return longs(out, "true_positives").withColumn("macro_f1", F.round("macro_f1", 9))
+
+
+@query(
+    views.sql(
+        "SELECT doc_id, format('boundary_precision: {:.4f}, boundary_recall: {:.4f}', boundary_precision, boundary_recall) AS line FROM scored WHERE num_predicted IN (1, 2, 4, 5, 8, 10) AND num_ground_truth IN (1, 2, 4, 5, 8, 10)",
+        *ALL_UNITS,
+        views.MATCHED,
+        _PRF,
+    )
+)
+def q_report(spark, sf):
+    some = _scores(spark, sf).where("num_predicted in (1, 2, 4, 5, 8, 10) and num_ground_truth in (1, 2, 4, 5, 8, 10)")
+    return evaluate.report(some, ["boundary_precision", "boundary_recall"])
+
+
+# --- corpora and flows ---------------------------------------------------------------
+
+
+@query("SELECT doc_id, text, source AS municipality FROM documents WHERE doc_id % 10 = 8 AND lower(source) = 'src8'")
+def q_split_filter(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", F.col("source").alias("municipality"))
+    k = F.col("doc_id") % 10
+    splits = docs.select("doc_id", F.when(k == 9, "test").when(k == 8, "val").otherwise("train").alias("split"), F.col("doc_id").alias("ord"))
+    return corpora.split_documents(docs, splits, "val", "SRC8")
+
+
+@query("SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 25")
+def q_topk_docs(spark, sf):
+    return corpora.first_documents(views.documents(spark, sf), 25)
+
+
+@query(
+    views.sql(
+        """SELECT doc_id, count(*) AS n_items, min(start)::INT AS first_start, max("end")::INT AS last_end, NULL::VARCHAR AS error FROM (
+          SELECT s.doc_id, s.start, e."end" FROM (
+            SELECT doc_id, 1 AS a, CASE WHEN max(sent_num) >= 6 THEN max(sent_num) // 2 END AS b FROM sent GROUP BY 1
+            UNION ALL SELECT doc_id, max(sent_num) // 2 + 1, max(sent_num) FROM sent GROUP BY 1 HAVING max(sent_num) >= 6) r
+          JOIN sent s ON s.doc_id = r.doc_id AND s.sent_num = r.a JOIN sent e ON e.doc_id = r.doc_id AND e.sent_num = r.b)
+        GROUP BY doc_id
+        UNION ALL SELECT doc_id, 0, NULL, NULL, NULL FROM sent GROUP BY doc_id HAVING max(sent_num) < 6""",
+        S,
+    )
+)
+def q_minutes_flow(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", F.col("source").alias("municipality"))
+    ask = lambda r: halving_answers(r) if r is not None else r
+    out = pipelines.segment_minutes(docs, ask)["result"]
+    return out.select(
+        "doc_id",
+        F.size("agenda_items").cast("long").alias("n_items"),
+        F.array_min(F.transform("agenda_items", lambda i: i.start)).alias("first_start"),
+        F.array_max(F.transform("agenda_items", lambda i: i.end)).alias("last_end"),
+        "error",
+    )
+
+
+@query(
+    views.sql(
+        """SELECT doc_id, CASE WHEN max(depth) = 0 THEN 1 ELSE count(*) FILTER (depth = 1) END AS n_items,
+          CASE WHEN max(depth) = 0 THEN 1 ELSE count(*) FILTER (depth > 0 AND (e - s + 1 < 6 OR depth = 3)) END AS n_subjects, max(depth)::INT AS tree_depth FROM tree GROUP BY doc_id""",
+        S,
+        _TREE,
+    )
+)
+def q_articles_flow(spark, sf):
+    out = pipelines.segment_articles(views.documents(spark, sf), halving_answers, pipelines.Config(max_depth=3))["result"]
+    n = F.aggregate(F.transform("agenda_items", lambda i: F.size(i.subjects)), F.lit(0), lambda a, x: a + x)
+    return out.select("doc_id", F.size("agenda_items").cast("long").alias("n_items"), n.cast("long").alias("n_subjects"), "tree_depth")
