@@ -80,5 +80,23 @@ def ascii_lower(c: Column) -> Column:
     )
 
 
+#: Rows of one Arrow batch on the way to Python; documents are long, and the batch, its
+#: copy in the worker and what is made from it are held at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to :data:`BATCH_ROWS` if it is larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def in_arrow(rows: DataFrame, run, schema: str) -> DataFrame:
+    """``rows.mapInArrow`` in batches of bounded size."""
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamtext.llm.common import written
+from loamtext.llm.common import in_arrow, written
 
 LEADING = 3
 BLOCKS = 8
@@ -95,7 +95,7 @@ def describe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(1), id_col).alias("k1"), F.xxhash64(F.lit(2), text_col).alias("k2"), F.col(text_col).alias("t"))
     schema = f"id {id_type}, k1 long, k2 long, line_no int, template long, leaf0 long, leaf1 long, leaf2 long, leaf3 long, blocks array<int>"
-    return written(rows.mapInArrow(run, schema), "lines")
+    return written(in_arrow(rows, run, schema), "lines")
 
 
 def group_leaf(templates: np.ndarray, blocks: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
@@ -144,7 +144,7 @@ def merged_templates(lines: DataFrame, similarity: float = SIMILARITY, leaf_line
             made = group_leaf(templates, blocks, similarity)
             yield pa.RecordBatch.from_arrays([pa.array(templates), pa.array(made)], ["template", "merged"])
 
-    return written(sorted_leaves.mapInArrow(run, "template long, merged long"), "merged")
+    return written(in_arrow(sorted_leaves, run, "template long, merged long"), "merged")
 
 
 def whole_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -173,7 +173,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # a text counts once, and the first to hold a template is the one with the least id
     holders = named.groupBy("template", "k2").agg(F.min(F.struct("id", *KEY)).alias("holder"))
     recurring = holders.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min("holder").alias("first")).where(F.col("n") >= min_docs)
-    first = recurring.select("template", F.col("first.k1").alias("first1"), F.col("first.k2").alias("first2"))
+    # written, so that both sides of the next join are dealt anew and a hot template can be split
+    first = written(recurring.select("template", F.col("first.k1").alias("first1"), F.col("first.k2").alias("first2")), "recurring")
     gone = named.join(first, "template").where("k1 <> first1 or k2 <> first2")
     return gone.groupBy(*KEY).agg(F.collect_set("line_no").alias("lines"))
 

@@ -28,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamtext.llm.common import in_arrow
+
 MARK = "▁"
-TABLE_CHUNKS = 400_000
+TABLE_CHUNKS = 200_000
 LONG_CHUNK = 256
 
 
@@ -104,7 +106,7 @@ def encode_decode(table: ChunkTable, texts: list[str]) -> Iterator[tuple[str, in
     table.forget_long(distinct)
 
 
-def slices(texts: list[str | None], chars: int = 1 << 22) -> Iterator[list[str]]:
+def slices(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str]]:
     """The texts in order, in lists of about so many characters; null as empty."""
     some, size = [], 0
     for t in texts:
@@ -139,4 +141,4 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
 
     types = "string, {} string" if digests else "array<int>, {} string"
     schema = f"id {id_type}, n_tokens long, {names[0]} {types.format(names[1])}"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return in_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), run, schema).withColumnRenamed("id", id_col)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamtext.llm.common import in_arrow
+
 SYMBOLS = b"#*$%&|<>"
 SAMPLE_ROWS = 1000
 MIN_WORDS = 50
@@ -139,7 +141,7 @@ def estimate_order(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, .
             yield pa.RecordBatch.from_arrays([pa.array(masks, pa.int64()), pa.array(costs, pa.list_(pa.float64()))], ["mask", "cost"])
 
     sample = docs.select(F.col(text_col).alias("t")).sample(min(1.0, 2.0 * sample_rows / n), seed=7).limit(sample_rows)
-    rows = sample.mapInArrow(measure, "mask long, cost array<double>").collect()
+    rows = in_arrow(sample, measure, "mask long, cost array<double>").collect()
     return order_rules([(r.mask, list(r.cost)) for r in rows], [r.name for r in rules])
 
 
@@ -170,4 +172,4 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
             )
 
     schema = f"id {id_type.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return in_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), run, schema).withColumnRenamed("id", id_col)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamtext.llm.common import written
+from loamtext.llm.common import in_arrow, written
 from loamtext.llm.components import components
 
 SHINGLE = 3
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made)], ["id", "k2", "fp"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(2), text_col).alias("k2"), F.col(text_col).alias("t"))
-    return written(rows.mapInArrow(run, f"id {id_type}, k2 long, fp long"), "fingerprints")
+    return written(in_arrow(rows, run, f"id {id_type}, k2 long, fp long"), "fingerprints")
 
 
 def shared_bytes(x: Column, y: Column) -> Column:

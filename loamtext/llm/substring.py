@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loamtext.llm.common import written
+from loamtext.llm.common import in_arrow, written
 
 GAP = 16
 MAX_BYTES = 96
@@ -96,7 +96,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             )
 
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("k"), F.col(text_col).alias("t"))
-    return written(rows.mapInArrow(run, f"id {id_type}, k long, at int, n int, d1 long, d2 long"), "chunks")
+    return written(in_arrow(rows, run, f"id {id_type}, k long, at int, n int, d1 long, d2 long"), "chunks")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_span: int = MIN_SPAN) -> DataFrame:

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamtext.llm.common import in_arrow
+
 CHUNK = 32_768
 OVERLAP = 256
 #: Texts encoded in one call of the library.
@@ -162,5 +164,5 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"))
-    out = rows.mapInArrow(run, f"id {id_type}, n_bytes long, n_tokens long")
+    out = in_arrow(rows, run, f"id {id_type}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit).withColumnRenamed("id", id_col)

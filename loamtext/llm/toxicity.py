@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamtext.llm.common import in_arrow
+
 SAMPLE_ROWS = 4000
 SAMPLE_CHARS = 20_000
 STRETCH = 32
@@ -158,32 +160,46 @@ def document_features(marginals: list[float], n_words: int) -> tuple[float, floa
     return max(marginals, default=0.0), math.log1p(total), math.log((total + 0.05) / (n_words + 50))
 
 
+def keyed_tokens(words: list[str]) -> Iterator[tuple[list[str], int]]:
+    """The keys of each word (itself and its beginnings) and a hash of its neighbours."""
+    for a, b, c in zip(["", *words], words, [*words[1:], ""]):
+        yield [b, *(b[:n] + "*" for n in BEGINNINGS if len(b) > n)], hash((a, c))
+
+
 def associated(rows: list[tuple[str, int]]) -> tuple[dict[str, int], set[str]]:
-    """The features (key -> number) and those that mark a token as toxic."""
-    pairs: list[dict[str, set]] = [defaultdict(set), defaultdict(set)]
+    """The features (key -> number) and those that mark a token as toxic.
+
+    Neighbour pairs in other rows are gathered for keys that toxic rows suggest, and only
+    until there are too many of them, which bounds memory.
+    """
+    split: list[list[list[str]]] = [[], []]
+    for text, toxic in sorted(set(rows)):
+        split[toxic].append(words_of(text))
+    total = [sum(map(len, texts)) for texts in split]
+    pairs: dict[str, set] = defaultdict(set)
     forms: dict[str, set] = defaultdict(set)
-    total = [0, 0]
     holders: Counter = Counter()
-    for text, toxic in sorted(set(rows), key=lambda r: -r[1]):
-        w = words_of(text)
-        keys_here: set[str] = set()
-        for a, b, c in zip(["", *w], w, [*w[1:], ""]):
-            keys = [b, *(b[:n] + "*" for n in BEGINNINGS if len(b) > n)]
+    for words in split[1]:
+        here: set[str] = set()
+        for keys, around in keyed_tokens(words):
+            for key in keys:
+                pairs[key].add(around)
+            for key in keys[1:]:
+                forms[key].add(keys[0])
+            here.update(keys)
+        holders.update(here)
+    seen = {k: len(v) for k, v in pairs.items() if len(v) >= MIN_PAIRS and holders[k] >= MIN_ROWS and (k[-1] != "*" or len(forms[k]) >= MIN_FORMS)}
+    most = {k: (n + 0.5) / (total[1] + 1) * (total[0] + 1) / math.exp(KEPT_ODDS) - 0.5 for k, n in seen.items()}
+    rest: dict[str, set] = {k: set() for k in seen}
+    for words in split[0]:
+        for keys, around in keyed_tokens(words):
             for key in keys:
-                if toxic or key in pairs[1]:
-                    pairs[toxic][key].add(hash((a, c)))
-            if toxic:
-                keys_here.update(keys)
-                for key in keys[1:]:
-                    forms[key].add(b)
-        holders.update(keys_here)
-        total[toxic] += len(w)
-    odds = {}
-    for key, seen in pairs[1].items():
-        if len(seen) >= MIN_PAIRS and holders[key] >= MIN_ROWS and (key[-1:] != "*" or len(forms[key]) >= MIN_FORMS):
-            rest = len(pairs[0].get(key, ()))
-            odds[key] = math.log((len(seen) + 0.5) / (total[1] + 1)) - math.log((rest + 0.5) / (total[0] + 1))
-    kept = [k for k in sorted(odds, key=lambda k: (-odds[k], k)) if odds[k] >= KEPT_ODDS][:MAX_FEATURES]
+                if key in rest:
+                    rest[key].add(around)
+                    if len(rest[key]) > most[key]:
+                        del rest[key]
+    odds = {k: math.log((seen[k] + 0.5) / (total[1] + 1)) - math.log((len(r) + 0.5) / (total[0] + 1)) for k, r in rest.items()}
+    kept = sorted(odds, key=lambda k: (-odds[k], k))[:MAX_FEATURES]
     return {w: k for k, w in enumerate(kept)}, {w for w in kept if odds[w] >= MIN_ODDS}
 
 
@@ -312,5 +328,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             )
 
     rows = docs.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(carried)), F.col(text_col).alias("t"))
-    out = rows.mapInArrow(run, f"{fields}, score double, spans array<struct<start: int, end: int, marginal: double>>")
+    out = in_arrow(rows, run, f"{fields}, score double, spans array<struct<start: int, end: int, marginal: double>>")
     return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(carried)), "score", "spans")
