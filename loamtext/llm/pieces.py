@@ -6,11 +6,17 @@ holds a marker after another character (checked when the model is loaded), and B
 ever forms pieces of the vocabulary, so no piece crosses from one chunk into the next:
 the ids of a text are the ids of its chunks, one after the other.
 
-So each worker keeps a table ``chunk -> (ids, decoded text)``: a chunk is segmented
-once, when it is first met, and the ids are joined back by position.  The table lives in
-the worker, for two reasons: it needs no shuffle of word positions, and a lost task is
-simply run again.  It is emptied at ``TABLE_CHUNKS`` entries, which bounds memory and changes
-no result; chunks over ``LONG_CHUNK`` characters are segmented without being kept.
+1. ``coded``: each task numbers the chunks of its rows, block by block, and writes every
+   text as the sequence of its numbers, and the blocks' distinct chunks with theirs.
+2. ``segmented``: the corpus's distinct chunks, each segmented and decoded once.
+3. The blocks' chunks are joined with that table by chunk, and the results go to
+   the blocks' texts, where ids and decoded texts are set in by position.
+
+What is shuffled are the numbers of the texts (four bytes a word before compression)
+and, once for a block, its distinct chunks; so a frequent word is one row for a block and
+not one for each occurrence.  Blocks end at ``BLOCK_CHUNKS`` distinct chunks or ``BLOCK_CHARS``
+characters, which bounds memory and changes no result.  Step 1 and 2 are written to the
+shared folder, so that numbers agree whatever tasks are run again.
 
 Defined results: null counts as the empty text, which has no ids; special strings in a
 text are ordinary characters, as in the library; repeated rows are encoded row by row;
@@ -24,15 +30,19 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamtext.llm.common import in_arrow
+from loamtext.llm.common import in_arrow, written
 
 MARK = "▁"
-TABLE_CHUNKS = 200_000
-LONG_CHUNK = 256
+BLOCK_CHUNKS = 200_000
+BLOCK_CHARS = 1 << 26
+#: Sorts after every chunk's number; marks the rows of texts.
+TEXT_ROW = (1 << 31) - 1
 
 
 @lru_cache(maxsize=2)
@@ -48,35 +58,21 @@ def load(path: str):
     return sp
 
 
-class ChunkTable(dict):
-    """chunk (without its first marker) -> (ids as text, decoded text)."""
+class Numbers(dict):
+    """chunk -> number, given in order of first appearance."""
 
-    def __init__(self, sp):
-        super().__init__()
-        self.sp, self.mark = sp, sp.piece_to_id(MARK)
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        return n
 
-    def add(self, chunks: set[str]) -> None:
-        """Segment the chunks that are new, each once."""
-        new = chunks.difference(self)
-        if len(self) + len(new) > TABLE_CHUNKS:
-            self.clear()
-            new = chunks
-        found = list(new)
-        ids = [i or [self.mark] for i in self.sp.encode(found, num_threads=1)] if found else []
-        # after another id, decoding keeps the chunk's first space
-        texts = self.sp.decode([[self.mark, *i] for i in ids]) if found else []
-        self.update((c, (",".join(map(str, i)), t)) for c, i, t in zip(found, ids, texts))
 
-    def forget_long(self, chunks: set[str]) -> None:
-        for c in chunks:
-            if len(c) > LONG_CHUNK:
-                self.pop(c, None)
-
-
-@lru_cache(maxsize=2)
-def table_of(path: str) -> ChunkTable:
-    """One table for all tasks that a worker process runs."""
-    return ChunkTable(load(path))
+def segment(sp, chunks: list[str]) -> tuple[list[str], list[str]]:
+    """Ids (joined by commas) and decoded texts of chunks that are given without their first marker."""
+    mark = sp.piece_to_id(MARK)
+    ids = [i or [mark] for i in sp.encode(chunks, num_threads=1)] if chunks else []
+    # after another id, decoding keeps the chunk's first space
+    texts = sp.decode([[mark, *i] for i in ids]) if chunks else []
+    return [",".join(map(str, i)) for i in ids], texts
 
 
 _NEXT = re.compile(f"{MARK}({MARK}*[^{MARK}]*)")
@@ -92,25 +88,69 @@ def chunks_of(text: str) -> list[str]:
     return _NEXT.findall(MARK + marked)
 
 
-def encode_decode(table: ChunkTable, texts: list[str]) -> Iterator[tuple[str, int, str]]:
-    """For each text its ids joined by commas, their number, and the decoded text."""
-    cut = [chunks_of(t) for t in texts]
-    distinct = set().union(*cut)
-    table.add(distinct)
-    for chunks in cut:
-        made = [table[c] for c in chunks]
-        ids = ",".join([m[0] for m in made])
-        decoded = "".join([m[1] for m in made])
-        # decoding drops the space of the marker that was put in front
-        yield ids, ids.count(",") + 1 if ids else 0, decoded[1:] if decoded[:1] == " " else decoded
-    table.forget_long(distinct)
+def set_in(table: list[tuple[str, str]], numbers: bytes) -> tuple[str, int, str]:
+    """A text's ids joined by commas, their number, and the decoded text, from its chunks' numbers."""
+    made = [table[n] for n in np.frombuffer(numbers, np.int32).tolist()]
+    ids = ",".join([m[0] for m in made])
+    decoded = "".join([m[1] for m in made])
+    # decoding drops the space of the marker that was put in front
+    return ids, ids.count(",") + 1 if ids else 0, decoded[1:] if decoded[:1] == " " else decoded
+
+
+def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chunks: int = BLOCK_CHUNKS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``(block, n, chunk, id, numbers)``, written.
+
+    A row of a chunk has its number n and a null ``numbers``; a row of a text has its id,
+    its chunks' numbers, and n = ``TEXT_ROW``.
+    """
+    id_type = docs.schema[id_col].dataType.simpleString()
+    names = ["block", "n", "chunk", "id", "numbers"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, numbers, chars, kind = TaskContext.get().partitionId() << 32, Numbers(), 0, None
+
+        def chunk_rows() -> pa.RecordBatch:
+            k = len(numbers)
+            return pa.RecordBatch.from_arrays([pa.array([block] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(list(numbers), pa.string()), pa.nulls(k, kind), pa.nulls(k, pa.binary())], names)
+
+        for b in batches:
+            kind, at = b.column(0).type, 0
+            for some in slices(b.column(1), min(block_chars, 1 << 20)):
+                made = []
+                for t in some:
+                    chunks = chunks_of(t)
+                    made.append(np.fromiter(map(numbers.__getitem__, chunks), np.int32, len(chunks)).tobytes())
+                    chars += len(t)
+                k = len(some)
+                yield pa.RecordBatch.from_arrays([pa.array([block] * k, pa.int64()), pa.array([TEXT_ROW] * k, pa.int32()), pa.nulls(k, pa.string()), b.column(0).slice(at, k), pa.array(made, pa.binary())], names)
+                at += k
+                if len(numbers) >= block_chunks or chars >= block_chars:
+                    yield chunk_rows()
+                    block, numbers, chars = block + 1, Numbers(), 0
+        if numbers:
+            yield chunk_rows()
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    return written(in_arrow(rows, run, f"block long, n int, chunk string, id {id_type}, numbers binary"), "coded")
+
+
+def segmented(chunks: DataFrame, model: str) -> DataFrame:
+    """``(chunk, ids, decoded)`` for each distinct chunk, written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sp = load(model)
+        for b in batches:
+            ids, texts = segment(sp, b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["chunk", "ids", "decoded"])
+
+    return written(in_arrow(chunks.select("chunk").distinct(), run, "chunk string, ids string, decoded string"), "segmented")
 
 
-def slices(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str]]:
+def slices(texts: pa.Array, chars: int) -> Iterator[list[str]]:
     """The texts in order, in lists of about so many characters; null as empty."""
     some, size = [], 0
     for t in texts:
-        some.append(t or "")
+        some.append(t.as_py() or "")
         size += len(some[-1])
         if size >= chars:
             yield some
@@ -119,26 +159,46 @@ def slices(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str]]
         yield some
 
 
-def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = True, **blocks: int) -> DataFrame:
     """Per row ``n_tokens`` and either digests, or the ids (array) and decoded text themselves."""
     id_type = docs.schema[id_col].dataType.simpleString()
     kinds = [pa.string(), pa.string()] if digests else [pa.list_(pa.int32()), pa.string()]
     names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
+    rows = coded(docs, id_col, text_col, **blocks)
+    of_texts = rows.where(F.col("numbers").isNotNull())
+    of_chunks = rows.where(F.col("numbers").isNull()).select("block", "n", "chunk")
+    known = of_chunks.join(segmented(of_chunks, model), "chunk")
+    both = known.select("block", "n", F.lit(None).cast(id_type).alias("id"), F.lit(None).cast("binary").alias("numbers"), "ids", "decoded").unionByName(
+        of_texts.select("block", "n", "id", "numbers", F.lit(None).cast("string").alias("ids"), F.lit(None).cast("string").alias("decoded"))
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = table_of(model)
+        block, table = None, []
         for b in batches:
-            n, first, second = [], [], []
-            for ids, k, decoded in (x for some in slices(b.column(1).to_pylist()) for x in encode_decode(table, some)):
-                n.append(k)
+            kind = b.column(2).type
+            found: list[list] = [[], [], [], []]
+            size = 0
+            for at, (of, n, numbers) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3))):
+                if of != block:
+                    block, table = of, []
+                if n != TEXT_ROW:
+                    table.append((b.column(4)[at].as_py(), b.column(5)[at].as_py()))
+                    continue
+                ids, k, decoded = set_in(table, numbers.as_py())
                 if digests:
-                    first.append(hashlib.sha256(ids.encode()).hexdigest())
-                    second.append(hashlib.sha256(decoded.encode()).hexdigest())
+                    out = hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
                 else:
-                    first.append(list(map(int, ids.split(","))) if ids else [])
-                    second.append(decoded)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(first, kinds[0]), pa.array(second, kinds[1])], ["id", "n_tokens", *names])
+                    out = list(map(int, ids.split(","))) if ids else [], decoded
+                    size += k
+                for column, value in zip(found, (b.column(2)[at].as_py(), k, *out)):
+                    column.append(value)
+                if size >= 1 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (kind, pa.int64(), *kinds))], ["id", "n_tokens", *names])
+                    found, size = [[], [], [], []], 0
+            if found[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (kind, pa.int64(), *kinds))], ["id", "n_tokens", *names])
 
     types = "string, {} string" if digests else "array<int>, {} string"
     schema = f"id {id_type}, n_tokens long, {names[0]} {types.format(names[1])}"
-    return in_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), run, schema).withColumnRenamed("id", id_col)
+    placed = both.repartition("block").sortWithinPartitions("block", "n")
+    return in_arrow(placed, run, schema).withColumnRenamed("id", id_col)

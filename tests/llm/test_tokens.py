@@ -44,15 +44,25 @@ def test_token_counts_of_odd_rows(odd, odd_rows, none, library):
     assert token_counts.count_tokens(none, path).count() == 0
 
 
-def test_pieces_equal_the_library(monkeypatch):
-    sp = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+def test_pieces_equal_the_library(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = pieces.load(path)
     some = ["", " ", "  a  b ", *texts(2000, 40)]
-    for limit in (200_000, 50):  # the table's size changes no result
-        monkeypatch.setattr(pieces, "TABLE_CHUNKS", limit)
-        table = pieces.ChunkTable(sp)
-        for t, (ids, n, decoded) in zip(some, (x for k in range(0, len(some), 100) for x in pieces.encode_decode(table, some[k : k + 100]))):
-            want = sp.encode(t)
-            assert ids == ",".join(map(str, want)) and n == len(want) and decoded == sp.decode(want)
+    docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pieces.encode_documents(docs, path, digests=False).collect()}
+    assert len(got) == len(some)
+    for k, t in enumerate(some):
+        assert list(got[k].ids) == sp.encode(t) and got[k].n_tokens == len(got[k].ids) and got[k].decoded == sp.decode(sp.encode(t))
+    small = docs.where("doc_id < 300")
+    for blocks in ({"block_chunks": 50, "block_chars": 90}, {"block_chars": 1}):  # the size of blocks changes no result
+        assert {r.doc_id: r for r in pieces.encode_documents(small, path, digests=False, **blocks).collect()} == {k: got[k] for k in range(300)}
+        assert pieces.coded(small, **blocks).select("block").distinct().count() > 8
+
+
+def test_each_distinct_chunk_is_segmented_once(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b a"), (3, None)], "doc_id long, text string")
+    rows = pieces.segmented(pieces.coded(docs).where("numbers is null"), public_tokenizers.path("piece_bpe_32k.model"))
+    assert sorted(r.chunk for r in rows.collect()) == ["a", "b"]
 
 
 def test_pieces_of_odd_rows(odd, odd_rows, none):
