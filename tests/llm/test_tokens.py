@@ -3,6 +3,7 @@ import random
 
 import public_tokenizers
 import pytest
+import zstandard
 
 from loamtext.llm import pieces, token_counts
 
@@ -56,13 +57,16 @@ def test_pieces_equal_the_library(spark):
     small = docs.where("doc_id < 300")
     for blocks in ({"block_chunks": 50, "block_chars": 90}, {"block_chars": 1}):  # the size of blocks changes no result
         assert {r.doc_id: r for r in pieces.encode_documents(small, path, digests=False, **blocks).collect()} == {k: got[k] for k in range(300)}
-        assert pieces.coded(small, **blocks).select("block").distinct().count() > 8
+        assert pieces.in_blocks(small.toDF("id", "t"), "texts", **blocks).select("block").distinct().count() > 8
 
 
-def test_each_distinct_chunk_is_segmented_once(spark):
-    docs = spark.createDataFrame([(1, "a b a"), (2, "b a"), (3, None)], "doc_id long, text string")
-    rows = pieces.segmented(pieces.coded(docs).where("numbers is null"), public_tokenizers.path("piece_bpe_32k.model"))
-    assert sorted(r.chunk for r in rows.collect()) == ["a", "b"]
+def test_each_distinct_chunk_is_one_entry_of_a_block(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b a a"), (3, None)], "id long, t string").coalesce(1)
+    rows = pieces.in_blocks(docs, "chunks", 2).collect()
+    chunks = [c for r in rows for c in zstandard.decompress(bytes(r.words)).decode().split(" ")]
+    assert sorted(chunks) == ["a", "b"]
+    order = pieces.in_blocks(docs, "texts").orderBy("id").collect()
+    assert [pieces.unpack(bytes(r.numbers)).tolist() for r in order] == [[0, 1, 0], [1, 0, 0], []]
 
 
 def test_pieces_of_odd_rows(odd, odd_rows, none):
