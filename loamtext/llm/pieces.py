@@ -146,9 +146,7 @@ class Block:
     def ranked(self) -> tuple[list[str], np.ndarray, int]:
         """Chunks by falling frequency, the rank of each first number, and a checksum."""
         chunks = list(self.numbers)
-        times = np.zeros(len(chunks), np.int64)
-        for t in self.texts:
-            np.add.at(times, t, 1) if len(t) < 64 else np.add(times, np.bincount(t, minlength=len(chunks)), out=times)
+        times = np.bincount(np.concatenate(self.texts), minlength=len(chunks)) if chunks else np.zeros(0, np.int64)
         order = np.argsort(-times, kind="stable")
         rank = np.empty(len(chunks), np.int32)
         rank[order] = np.arange(len(chunks), dtype=np.int32)
