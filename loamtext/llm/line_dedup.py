@@ -9,9 +9,10 @@ wherever it is compared, however long it is.  Within a leaf, lines join the firs
 template that shares at least ``SIMILARITY`` of its blocks; blocks that differ become
 variable.
 
-A leaf of more than ``LEAF_LINES`` different lines is split by further leading tokens
-(2, 4, 8 times as many), and by all of them beyond that, where equal lines only are one
-template; so no task holds an unbounded leaf.
+A leaf is grouped as a whole, whatever its size: lines arrive in order of their keys and
+only templates are held.  A line and a template that may differ in d places share at least
+one of any d + 1 blocks of places, so templates are looked up by such blocks and each one
+found is compared in full; the result is that of a comparison with all of them.
 
 A template recurs when ``MIN_DOCS`` different texts hold it: rows with one text count
 once, so copies of a document are no reason to drop its lines.  Lines of a recurring
@@ -31,6 +32,7 @@ import re
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import pairwise
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,6 @@ from loamtext.llm.common import in_arrow, written
 LEADING = 3
 BLOCKS = 8
 SIMILARITY = 0.75
-LEAF_LINES = 2000
 MIN_DOCS = 3
 MIN_TOKENS = 3
 TREE_TOKENS = 5
@@ -98,39 +99,73 @@ def describe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return written(in_arrow(rows, run, schema), "lines")
 
 
+class Templates:
+    """The templates of one leaf in the order they were founded; a line joins the first that fits.
+
+    ``lead`` positions at the start are equal in all lines of the leaf.
+    """
+
+    STEP = 256
+
+    def __init__(self, width: int, similarity: float = SIMILARITY, lead: int = 0):
+        self.needed = ceil(similarity * width)
+        parts = width - self.needed + 1
+        # fewer places than that: no block need be shared, and a line is compared with all templates
+        self.edges = [lead + (width - lead) * i // parts for i in range(parts + 1)] if parts <= width - lead else None
+        self.held = np.empty((4, width), np.int32)
+        self.fixed = np.empty((4, width), bool)
+        self.names: list[int] = []
+        self.at: dict[tuple[int, bytes], list[int]] = {}
+
+    def _keys(self, row: np.ndarray) -> list[tuple[int, bytes]]:
+        data, edges = row.astype(np.int32, copy=False).tobytes(), self.edges
+        return [(a, data[4 * a : 4 * b]) for a, b in pairwise(edges)]
+
+    def join(self, name: int, row: np.ndarray) -> int:
+        """The key of the template the line joins: its own, if it founds one."""
+        n = len(self.names)
+        keys = self._keys(row) if self.edges else []
+        found = sorted({j for k in keys for j in self.at.get(k, ())}) if self.edges else range(n)
+        for a in range(0, len(found), self.STEP):
+            some = np.array(found[a : a + self.STEP])
+            same = (self.held[some] == row) & self.fixed[some]
+            enough = np.nonzero(same.sum(1) >= self.needed)[0]
+            if len(enough):
+                j = some[enough[0]]
+                self.fixed[j] = same[enough[0]]
+                return self.names[j]
+        if n == len(self.held):
+            self.held = np.concatenate([self.held, np.empty_like(self.held)])
+            self.fixed = np.concatenate([self.fixed, np.empty_like(self.fixed)])
+        self.held[n], self.fixed[n] = row, True
+        self.names.append(name)
+        for k in keys:
+            self.at.setdefault(k, []).append(n)
+        return name
+
+
 def group_leaf(templates: np.ndarray, blocks: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
     """For each line of a leaf (in template-key order) the key of the template it joins."""
-    width = blocks.shape[1]
-    held = np.empty_like(blocks)
-    fixed = np.empty(blocks.shape, bool)
-    names = np.empty(len(templates), np.int64)
-    out = np.empty(len(templates), np.int64)
-    n = 0
-    for i in range(len(templates)):
-        same = (held[:n] == blocks[i]) & fixed[:n]
-        enough = np.nonzero(same.sum(1) >= similarity * width)[0]
-        if len(enough):
-            j = enough[0]
-            fixed[j] = same[j]
-            out[i] = names[j]
-        else:
-            held[n], fixed[n], names[n], out[i] = blocks[i], True, templates[i], templates[i]
-            n += 1
-    return out
-
-
-def merged_templates(lines: DataFrame, similarity: float = SIMILARITY, leaf_lines: int = LEAF_LINES) -> DataFrame:
-    """``(template, merged)`` for the lines whose leaf holds several different lines, written."""
-    leaves = [f"leaf{k}" for k in range(4)]
+    found = Templates(blocks.shape[1], similarity)
+    return np.array([found.join(t, row) for t, row in zip(templates.tolist(), blocks)], np.int64)
+
+
+def merged_templates(lines: DataFrame, similarity: float = SIMILARITY, leaf_lines: int | None = None) -> DataFrame:
+    """``(template, merged)`` for the lines whose leaf holds several different lines, written.
+
+    With ``leaf_lines``, leaves of more different lines are split by 2, 4 and 8 times the
+    leading tokens and then dropped, which loses templates; no query and no stage sets it.
+    """
+    leaves = [f"leaf{k}" for k in range(4)] if leaf_lines else ["leaf0"]
     distinct = written(lines.where(F.size("blocks") > 0).groupBy("template").agg(*(F.first(c).alias(c) for c in [*leaves, "blocks"])), "templates")
     todo, done = distinct, []
     for leaf in leaves:
         sizes = todo.groupBy(leaf).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sized = todo.join(sizes, leaf)
-        done.append(sized.where(F.col("n") <= leaf_lines).select(F.col(leaf).alias("leaf"), "template", "blocks"))
-        todo = written(sized.where(F.col("n") > leaf_lines).drop("n"), "overfull")
-        if todo.isEmpty():
-            break
+        fits = F.col("n") <= leaf_lines if leaf_lines else F.lit(True)
+        done.append(sized.where(fits).select(F.col(leaf).alias("leaf"), "template", "blocks"))
+        if leaf_lines:
+            todo = written(sized.where(~fits).drop("n"), "overfull")
 
     every = done[0]
     for more in done[1:]:
@@ -138,34 +173,28 @@ def merged_templates(lines: DataFrame, similarity: float = SIMILARITY, leaf_line
     sorted_leaves = every.repartition("leaf").sortWithinPartitions("leaf", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for leaf in whole_leaves(batches):
-            templates = leaf.column("template").to_numpy()
-            blocks = leaf.column("blocks").combine_chunks().flatten().to_numpy().reshape(len(templates), -1)
-            made = group_leaf(templates, blocks, similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(templates), pa.array(made)], ["template", "merged"])
+        at, found = None, None
+        for b in batches:
+            for leaf, part in leaf_parts(b):
+                templates = part.column("template").to_numpy()
+                blocks = part.column("blocks").flatten().to_numpy().reshape(len(templates), -1)
+                if found is None or leaf != at:
+                    at, found = leaf, Templates(blocks.shape[1], similarity)
+                made = [found.join(t, row) for t, row in zip(templates.tolist(), blocks)]
+                yield pa.RecordBatch.from_arrays([pa.array(templates), pa.array(made, pa.int64())], ["template", "merged"])
 
     return written(in_arrow(sorted_leaves, run, "template long, merged long"), "merged")
 
 
-def whole_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of one leaf at a time, from batches sorted by leaf."""
-    held: list[pa.Table] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        leaves = b.column("leaf").to_numpy()
-        edges = [0, *(np.nonzero(np.diff(leaves))[0] + 1).tolist(), len(leaves)]
-        table = pa.table(b)
-        for at, end in pairwise(edges):
-            if held and held[-1].column("leaf")[0].as_py() != leaves[at]:
-                yield pa.concat_tables(held)
-                held = []
-            held.append(table.slice(at, end - at))
-    if held:
-        yield pa.concat_tables(held)
-
-
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, leaf_lines: int = LEAF_LINES) -> DataFrame:
+def leaf_parts(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of each leaf in a batch sorted by leaf."""
+    leaves = b.column("leaf").to_numpy()
+    edges = [0, *(np.nonzero(np.diff(leaves))[0] + 1).tolist(), len(leaves)] if len(leaves) else []
+    for at, end in pairwise(edges):
+        yield int(leaves[at]), b.slice(at, end - at)
+
+
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, leaf_lines: int | None = None) -> DataFrame:
     """``(k1, k2, lines)``: the numbers of the lines to drop from each document."""
     lines = describe_lines(docs, id_col, text_col)
     merged = merged_templates(lines, similarity, leaf_lines)

@@ -106,3 +106,30 @@ def test_odd_rows_of_line_dedup(odd, odd_rows, none):
     got = sorted((tuple(r)[:12] for r in out.collect()), key=repr)
     assert got == sorted(odd_rows, key=repr)  # no line recurs in three texts
     assert line_dedup.dedup_lines(none).count() == 0
+
+
+def test_a_template_goes_at_every_size(spark):
+    name = lambda k: "".join("abcdefghij"[int(c)] for c in str(k))
+    rows = [(k, f"Posted by user {name(k)} from here today") for k in range(2100)]
+    out = cleaned(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert out[0] == rows[0][1] and all(out[k] == "" for k in range(1, 2100))
+
+
+def test_templates_equal_a_comparison_with_all():
+    r = np.random.default_rng(4)
+    for width, lead in ((5, 3), (8, 0), (13, 3), (24, 3)):
+        rows = r.integers(0, 3, (400, width)).astype(np.int32)
+        rows[:, :lead] = 7
+        held, want = [], []
+        for i, row in enumerate(rows):
+            for t in held:
+                same = (t[1] == row) & t[2]
+                if same.sum() >= 0.75 * width:
+                    t[2] = same
+                    want.append(t[0])
+                    break
+            else:
+                held.append([i, row, np.ones(width, bool)])
+                want.append(i)
+        found = line_dedup.Templates(width, 0.75, lead)
+        assert [found.join(i, row) for i, row in enumerate(rows)] == want and len(held) < 400
