@@ -3,11 +3,9 @@
 A line's tokens are cut at white space; tokens that hold a digit, an @ or :// are
 variable fields and become ``<*>``.  The tree has a fixed depth: token count, then the
 first ``LEADING`` tokens; what arrives at one leaf is grouped into templates by
-comparing position by position.  Positions are compared in at most ``BLOCKS`` blocks of
-neighbouring positions (one token each up to that length), so a line is a few numbers
-wherever it is compared, however long it is.  Within a leaf, lines join the first
-template that shares at least ``SIMILARITY`` of its blocks; blocks that differ become
-variable.
+comparing token by token (hashes of 32 bits).  Within a leaf, lines join the first
+template that shares at least ``SIMILARITY`` of its tokens; tokens that differ become
+variable.  Tokens travel only for lines whose leaf holds several different lines.
 
 A leaf is grouped as a whole, whatever its size: lines arrive in order of their keys and
 only templates are held.  A line and a template that may differ in d places share at least
@@ -42,11 +40,12 @@ from pyspark.sql import functions as F
 from loamtext.llm.common import in_arrow, written
 
 LEADING = 3
-BLOCKS = 8
 SIMILARITY = 0.75
 MIN_DOCS = 3
 MIN_TOKENS = 3
 TREE_TOKENS = 5
+#: Templates a task remembers, to write the tokens of a template once for many lines.
+SEEN = 200_000
 KEY = ["k1", "k2"]
 _VARIABLE = re.compile(r"\S*(?:[0-9@]|://)\S*")
 _SOME_VARIABLE = re.compile(r"[0-9@]|://")
@@ -56,32 +55,36 @@ def _number(data: bytes) -> int:
     return int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def _describe(line: str) -> tuple[int, int, list[int], list[int]] | None:
-    """Token count, template key, leaf keys at 1, 2, 4 and 8 times the depth, block keys."""
+def _describe(line: str) -> tuple[int, int, list[bytes]] | None:
+    """Template key, leaf key and tokens (none if the line is a template of its own)."""
     tokens = (_VARIABLE.sub("<*>", line) if _SOME_VARIABLE.search(line) else line).encode("utf-8", "surrogatepass").split()
     n = len(tokens)
     if n < MIN_TOKENS:
         return None
     template = _number(b" ".join(tokens))
     if n < TREE_TOKENS:
-        return n, template, [template] * 4, []
-    leaves = [_number(b"%d " % n + b" ".join(tokens[: LEADING << k])) for k in range(4)]
-    k = min(BLOCKS, n)
-    edges = [n * i // k for i in range(k + 1)]
-    return n, template, leaves, [hash_block(tokens[a:b]) for a, b in zip(edges, edges[1:])]
+        return template, template, []
+    return template, _number(b"%d " % n + b" ".join(tokens[:LEADING])), tokens
 
 
-def hash_block(tokens: list[bytes]) -> int:
-    return int.from_bytes(blake2b(b" ".join(tokens), digest_size=4).digest(), "little", signed=True)
+def hash_tokens(tokens: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh32_intdigest, tokens), np.uint32, len(tokens)).view(np.int32)
 
 
 def describe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line that may be dropped, written: keys of its document and of itself."""
+    """One row per line that may be dropped, written: keys of its document and of itself.
+
+    ``tokens`` is null where the task has written those of an equal template before, and
+    for templates that no other can join.
+    """
     id_type = docs.schema[id_col].dataType.simpleString()
-    names = ["id", *KEY, "line_no", "template", "leaf0", "leaf1", "leaf2", "leaf3", "blocks"]
-    kinds = [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 5 + [pa.list_(pa.int32())]
+    names = ["id", *KEY, "line_no", "template", "leaf", "tokens"]
+    kinds = [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 2 + [pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             rows, at = [], []
             keys = zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())
@@ -89,13 +92,19 @@ def describe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for no, line in enumerate(text.split("\n") if text else ()):
                     made = _describe(line)
                     if made:
-                        rows.append((k1, k2, no, made[1], *made[2], made[3]))
+                        template, leaf, tokens = made
+                        new = bool(tokens) and template not in seen
+                        if new:
+                            if len(seen) >= SEEN:
+                                seen.clear()
+                            seen.add(template)
+                        rows.append((k1, k2, no, template, leaf, hash_tokens(tokens) if new else None))
                         at.append(k)
             cols = list(zip(*rows)) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))], names)
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(1), id_col).alias("k1"), F.xxhash64(F.lit(2), text_col).alias("k2"), F.col(text_col).alias("t"))
-    schema = f"id {id_type}, k1 long, k2 long, line_no int, template long, leaf0 long, leaf1 long, leaf2 long, leaf3 long, blocks array<int>"
+    schema = f"id {id_type}, k1 long, k2 long, line_no int, template long, leaf long, tokens array<int>"
     return written(in_arrow(rows, run, schema), "lines")
 
 
@@ -156,20 +165,13 @@ def merged_templates(lines: DataFrame, similarity: float = SIMILARITY, leaf_line
     With ``leaf_lines``, leaves of more different lines are split by 2, 4 and 8 times the
     leading tokens and then dropped, which loses templates; no query and no stage sets it.
     """
-    leaves = [f"leaf{k}" for k in range(4)] if leaf_lines else ["leaf0"]
-    distinct = written(lines.where(F.size("blocks") > 0).groupBy("template").agg(*(F.first(c).alias(c) for c in [*leaves, "blocks"])), "templates")
-    todo, done = distinct, []
-    for leaf in leaves:
-        sizes = todo.groupBy(leaf).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        sized = todo.join(sizes, leaf)
-        fits = F.col("n") <= leaf_lines if leaf_lines else F.lit(True)
-        done.append(sized.where(fits).select(F.col(leaf).alias("leaf"), "template", "blocks"))
-        if leaf_lines:
-            todo = written(sized.where(~fits).drop("n"), "overfull")
-
-    every = done[0]
-    for more in done[1:]:
-        every = every.union(more)
+    held = lines.where("tokens is not null")
+    distinct = written(held.select("leaf", "template").distinct(), "templates")
+    several = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf")
+    to_group = written(distinct.join(several, "leaf").select("template"), "to_group")
+    every = written(held.select("template", "leaf", "tokens").join(to_group, "template"), "grouped").groupBy("template").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
+    if leaf_lines:
+        every = _split(every, leaf_lines)
     sorted_leaves = every.repartition("leaf").sortWithinPartitions("leaf", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,15 +179,27 @@ def merged_templates(lines: DataFrame, similarity: float = SIMILARITY, leaf_line
         for b in batches:
             for leaf, part in leaf_parts(b):
                 templates = part.column("template").to_numpy()
-                blocks = part.column("blocks").flatten().to_numpy().reshape(len(templates), -1)
+                tokens = part.column("tokens").flatten().to_numpy().reshape(len(templates), -1)
                 if found is None or leaf != at:
-                    at, found = leaf, Templates(blocks.shape[1], similarity)
-                made = [found.join(t, row) for t, row in zip(templates.tolist(), blocks)]
+                    at, found = leaf, Templates(tokens.shape[1], similarity, LEADING)
+                made = [found.join(t, row) for t, row in zip(templates.tolist(), tokens)]
                 yield pa.RecordBatch.from_arrays([pa.array(templates), pa.array(made, pa.int64())], ["template", "merged"])
 
     return written(in_arrow(sorted_leaves, run, "template long, merged long"), "merged")
 
 
+def _split(every: DataFrame, leaf_lines: int) -> DataFrame:
+    """``every`` with overfull leaves split by more leading tokens, and what stays overfull dropped."""
+    todo, done = written(every, "split"), []
+    for k in range(4):
+        leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING << k))
+        todo = todo.withColumn("leaf", leaf)
+        sized = todo.join(todo.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "leaf")
+        done.append(sized.where(F.col("n") <= leaf_lines).select("template", "leaf", "tokens"))
+        todo = written(sized.where(F.col("n") > leaf_lines).select("template", "leaf", "tokens"), "overfull")
+    return done[0].union(done[1]).union(done[2]).union(done[3])
+
+
 def leaf_parts(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
     """The rows of each leaf in a batch sorted by leaf."""
     leaves = b.column("leaf").to_numpy()

@@ -133,3 +133,11 @@ def test_templates_equal_a_comparison_with_all():
                 want.append(i)
         found = line_dedup.Templates(width, 0.75, lead)
         assert [found.join(i, row) for i, row in enumerate(rows)] == want and len(held) < 400
+
+
+def test_long_lines_are_compared_by_token(spark):
+    words = [f"{a}{b}" for a in "klmnop" for b in "qrst"]
+    # three variable words in three different eighths: 21 of 24 tokens are shared, but 5 of 8 blocks
+    line = lambda k: " ".join(x + "xyz"[k] if p in (7, 13, 20) else x for p, x in enumerate(words))
+    rows = [(k, line(k)) for k in range(3)]
+    assert cleaned(spark.createDataFrame(rows, "doc_id long, text string")) == {0: rows[0][1], 1: "", 2: ""}
