@@ -333,6 +333,10 @@ def corpus_summary(metrics: DataFrame, *groups: str) -> DataFrame:
 
 
 def report(metrics: DataFrame, columns: list[str]) -> DataFrame:
-    """``doc_id, line``: the metrics as text with four decimals."""
-    parts = [F.format_string(f"{c}: %.4f", F.col(c).cast("double")) for c in columns]
+    """``doc_id, line``: the metrics as text with four decimals.
+
+    Python rounds the exact binary value (1/32 is 0.0312), Java's formats the shortest decimal.
+    """
+    four = F.udf(lambda x: "null" if x is None else f"{x:.4f}", "string")
+    parts = [F.concat(F.lit(f"{c}: "), four(F.col(c).cast("double"))) for c in columns]
     return metrics.select("doc_id", F.concat_ws(", ", *parts).alias("line"))
