@@ -70,9 +70,13 @@ class Library:
 
     def prepared(self, text: str) -> tuple[object, str]:
         """The tokenizer to use and the text to give to it; positions are kept."""
-        if self.plain is None or _ODD.search(text) or any(s in text for s in self.specials):
+        if self.plain is None or _ODD.search(text):
             return self.full, text
-        return self.plain, text.lower()
+        lower = text.lower()
+        # lower-casing can make a special string of a text that has none
+        if any(s in text or s in lower for s in self.specials):
+            return self.full, text
+        return self.plain, lower
 
 
 def encode_spans(tok, text: str) -> list[tuple[int, int]]:

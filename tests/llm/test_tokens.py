@@ -33,6 +33,14 @@ def test_a_text_without_white_space_is_encoded_in_one_piece(library):
     assert token_counts.count_huge(library, t, chunk=50, overlap=4) == len(library.full.encode(t, add_special_tokens=False).ids)
 
 
+def test_special_strings_in_other_cases_are_plain_text(library):
+    for special in library.specials:
+        for t in (f"a {special.upper()} b", f"x {special.title()}", f"a {special} b", f"{special.upper()}{special}"):
+            want = len(library.full.encode(t, add_special_tokens=False).ids)
+            assert token_counts.count_batch(library, [t]) == [want]
+            assert token_counts.count_huge(library, t * 5, chunk=30, overlap=5) == len(library.full.encode(t * 5, add_special_tokens=False).ids)
+
+
 def test_token_counts_of_odd_rows(odd, odd_rows, none, library):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = sorted(map(tuple, token_counts.count_tokens(odd, path).collect()), key=repr)
