@@ -38,6 +38,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def n_written() -> int:
+    """How many tables :func:`written` has made that are still there; a mark for :func:`remove_written`."""
+    return len(_written)
+
+
+def last_written() -> str:
+    return _written[-1]
+
+
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """``df`` as a table in the shared folder, read back: lineage ends here.
 
@@ -52,11 +61,14 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_written(spark: SparkSession) -> None:
-    """Delete the tables that :func:`written` has made in this process."""
+def remove_written(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Delete the tables that :func:`written` has made in this process, but the first ``since``
+    and the one at ``keep``."""
     jvm = spark.sparkContext._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    gone = [p for p in _written[since:] if p != keep]
+    _written[since:] = [p for p in _written[since:] if p == keep]
+    for p in gone:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         fs.delete(path, True)
 
@@ -80,23 +92,43 @@ def ascii_lower(c: Column) -> Column:
     )
 
 
-#: Rows of one Arrow batch on the way to Python; documents are long, and the batch, its
-#: copy in the worker and what is made from it are held at once.
+#: Rows and bytes of one Arrow batch on the way to Python; documents are long, and the batch,
+#: its copy in the worker and what is made from it are held at once.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to :data:`BATCH_ROWS` if it is larger."""
+    """Lower the session's bounds of Arrow batches to the above if they are larger.
+
+    They stay lowered: a plan reads them when it runs, which may be long after this call.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def in_arrow(rows: DataFrame, run, schema: str) -> DataFrame:
-    """``rows.mapInArrow`` in batches of bounded size."""
+    """``rows.mapInArrow`` in batches of bounded rows and bytes."""
     small_batches(rows.sparkSession)
     return rows.mapInArrow(run, schema)
 
 
+def carried(columns: list[str], *made: str) -> list[str]:
+    """Names for carried columns beside new columns ``made``: a clashing one (in any case, as
+    Spark compares names) gets ``_in`` behind it, until it is free."""
+    new, taken, out = {m.lower() for m in made}, {c.lower() for c in (*columns, *made)}, []
+    for c in columns:
+        if c.lower() in new:
+            while c.lower() in taken:
+                c += "_in"
+            taken.add(c.lower())
+        out.append(c)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
