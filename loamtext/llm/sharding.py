@@ -2,10 +2,15 @@
 
 Pass 1 scatters records uniformly into memory-sized buckets by a seeded hash of the
 row's place in the scan, so equal keys and equal rows spread like any others; Spark's
-shuffle files are the buckets on disk.  Pass 2 loads one bucket at a time as an array,
-puts it in key order, draws a Fisher-Yates permutation of it (``shuffle``) and writes
-it to the shared folder.  Buckets follow each other, so each record has one place in
-the whole order, and shard s holds the places from ceil(s*N/S).
+shuffle files are the buckets on disk.  A bucket's number is its task's number
+(``repartitionById``), so each task has one bucket and none is idle.  Pass 2 loads the
+task's bucket as an array, puts it in key order, draws a Fisher-Yates permutation of it
+(``shuffle``) and writes it to the shared folder.  Buckets follow each other, so each
+record has one place in the whole order, and shard s holds the places from ceil(s*N/S).
+
+A bucket holds ``BUCKET_BYTES``, and a task about three times that in memory.  There are
+at least ``LEAST_BUCKETS``, so that small tables use several executors, and at most
+``MOST_BUCKETS``, beyond which buckets grow (1 GB at 100 TB) and executors must too.
 
 The buckets are written before anything is derived from them: a task that is repeated
 after the loss of an executor writes its buckets anew as a whole, and later tasks read
@@ -13,21 +18,23 @@ the one order that was committed.
 
 Law: ``rows``; shards differ by at most one row.  Defined results: a null text has
 size 1 and checksum 0 and stays null; repeated rows are separate records; an empty
-table gives no rows.  Other columns are carried along under their own names.
+table gives no rows.  Other columns, maps included, are carried along under their own names;
+a column called ``shard`` or ``slot`` is carried as ``shard_in`` or ``slot_in``.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from loamtext.llm.common import new_path, written
+from loamtext.llm.common import carried, new_path, written
 
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 64 << 20
+LEAST_BUCKETS, MOST_BUCKETS = 32, 100_000
 SEED = 1729
 #: Buckets whose offsets are summed together in one step of the two-level prefix sum.
 SUPER = 1024
@@ -40,10 +47,14 @@ def shuffled_buckets(rows: DataFrame, n_buckets: int, seed: int = SEED) -> DataF
     cols = rows.columns
     keyed = rows.withColumn("_key", F.xxhash64(F.lit(seed), F.monotonically_increasing_id()))
     keyed = keyed.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "_key"), F.lit(n_buckets)).cast("int"))
+
+    def by_key(a: Column, b: Column) -> Column:
+        return F.when(a["_key"] < b["_key"], -1).when(a["_key"] > b["_key"], 1).otherwise(0)
+
     loaded = (
-        keyed.repartition(n_buckets, "_bucket")
+        keyed.repartitionById(n_buckets, F.col("_bucket"))
         .groupBy("_bucket")
-        .agg(F.sort_array(F.collect_list(F.struct("_key", *cols))).alias("records"))
+        .agg(F.array_sort(F.collect_list(F.struct("_key", *cols)), by_key).alias("records"))
     )
     drawn = loaded.select("_bucket", F.posexplode(F.shuffle("records", F.lit(seed))).alias("_at", "r"))
     return written(drawn.select("_bucket", "_at", *(F.col(f"r.{c}").alias(c) for c in cols)), "buckets")
@@ -65,7 +76,7 @@ def shuffled(docs: DataFrame, n_shards: int, bucket_bytes: int = BUCKET_BYTES, s
     strings = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in docs.schema.fields if isinstance(f.dataType, StringType)]
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(sum(strings, F.lit(8 * len(inner)))).alias("b")).first()
     n = size.n
-    n_buckets = max(1, math.ceil((size.b or 0) / bucket_bytes))
+    n_buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, math.ceil((size.b or 0) / bucket_bytes)))
     buckets = shuffled_buckets(docs.toDF(*inner.values()), n_buckets, seed)
     offsets = bucket_offsets(buckets)
     if n_buckets <= BROADCAST_BUCKETS:
@@ -76,7 +87,7 @@ def shuffled(docs: DataFrame, n_shards: int, bucket_bytes: int = BUCKET_BYTES, s
         .withColumn("_shard", F.expr(f"_place * {n_shards} div {max(n, 1)}"))
         .withColumn("_slot", F.expr(f"_place - (_shard * {n} + {n_shards - 1}) div {n_shards}"))
     )
-    back = [F.col(v).alias(c) for c, v in inner.items()]
+    back = [F.col(v).alias(c) for c, v in zip(carried(docs.columns, "shard", "slot"), inner.values())]
     return placed.select(*back, F.col("_shard").cast("int").alias("shard"), F.col("_slot").alias("slot"))
 
 
