@@ -40,6 +40,8 @@ DELIMITERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 END = "\x00"
 #: Rows up to which a counted table is broadcast (some tens of MB).
 BROADCAST_ROWS = 300_000
+#: Bytes up to which the vocabulary, whose words have any length, is broadcast.
+BROADCAST_BYTES = 32 << 20
 KEY = ["k1", "k2"]
 
 
@@ -61,6 +63,7 @@ class Windows:
     items: DataFrame
     n_terms: int
     n_windows: int
+    vocabulary_bytes: int
 
 
 def windows_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> Windows:
@@ -75,15 +78,17 @@ def windows_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     )
     cut = written(cut, "cut")
     known = cut.select(F.explode("phrase").alias("word")).union(cut.sparkSession.range(1).select(F.lit(END))).distinct()
-    vocabulary = written(known.coalesce(1).select("word", F.monotonically_increasing_id().cast("int").alias("term")), "vocabulary")
-    phrases = written(cut.select("phrase").distinct().coalesce(1).select("phrase", F.monotonically_increasing_id().cast("int").alias("wid")), "phrases")
+    # numbers with gaps, given by each task on its own; written, so they are given once
+    vocabulary = written(known.select("word", F.monotonically_increasing_id().alias("term")), "vocabulary")
+    phrases = written(cut.select("phrase").distinct().select("phrase", F.monotonically_increasing_id().alias("wid")), "phrases")
     listed = written(cut.join(phrases, "phrase").select("wid", "item").distinct(), "window_items")
     placed = phrases.select("wid", F.size("phrase").alias("n"), F.posexplode("phrase").alias("off", "word"))
     terms = written(placed.join(vocabulary, "word").select("wid", "n", "off", "term"), "window_terms")
-    return Windows(vocabulary, terms, listed, vocabulary.count(), phrases.count())
+    size = vocabulary.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("word") + 24).alias("b")).first()
+    return Windows(vocabulary, terms, listed, size.n, phrases.count(), size.b)
 
 
-def build_index(docs: DataFrame, vocabulary: DataFrame, n_terms: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def build_index(docs: DataFrame, found: Windows, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Postings ``(term, pos, k1, k2, id)`` of the vocabulary's words, written."""
     keyed = docs.select(
         F.col(id_col).alias("id"),
@@ -92,7 +97,8 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, n_terms: int, id_col: st
         F.array_append(words(F.col(text_col)), F.lit(END)).alias("w"),
     )
     tokens = keyed.select("id", "k1", "k2", F.posexplode("w").alias("pos", "word"))
-    return written(tokens.join(sized(vocabulary, n_terms), "word").select("term", "pos", "k1", "k2", "id"), "postings")
+    vocabulary = sized(found.vocabulary, found.n_terms) if found.vocabulary_bytes <= BROADCAST_BYTES else found.vocabulary
+    return written(tokens.join(vocabulary, "word").select("term", "pos", "k1", "k2", "id"), "postings")
 
 
 def ranked_terms(index: DataFrame, found: Windows) -> DataFrame:
@@ -169,7 +175,7 @@ def hit_words(spans: Column) -> Column:
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, min_items: int = 2) -> DataFrame:
     """Per row ``id_col, k1, k2, n_words, n_hit, n_items, item_ids, contaminated``."""
     found = windows_of(items, item_id_col, item_text_col, window)
-    index = build_index(docs, found.vocabulary, found.n_terms, id_col, text_col)
+    index = build_index(docs, found, id_col, text_col)
     matches = phrase_matches(index, found)
     spans = matches.groupBy(*KEY).agg(hit_words(F.array_sort(F.collect_set(F.struct("start", "n")))).alias("n_hit"))
     held = matches.select(*KEY, "wid").distinct().join(found.items, "wid").select(*KEY, F.col("item").cast("string").alias("item"))

@@ -47,6 +47,7 @@ def test_random_texts_equal_brute_force(spark, monkeypatch):
     want = brute(docs, [tuple(x) for x in items.collect()])
     assert run(df, items) == want
     monkeypatch.setattr(dc, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(dc, "BROADCAST_BYTES", 0)
     assert run(df, items) == want
 
 
@@ -61,7 +62,7 @@ def test_proximity(spark):
     items = spark.createDataFrame([(1, "red green blue"), (2, "solo")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "blue x x red x green"), (2, "red green x x x x x x blue"), (3, "solo red"), (4, "green red")], "doc_id long, text string")
     found = dc.windows_of(items)
-    index = dc.build_index(docs, found.vocabulary, found.n_terms)
+    index = dc.build_index(docs, found)
     near = dc.proximity_matches(index, found, 5).join(index.select("k1", "k2", "id").distinct(), ["k1", "k2"]).join(found.items, "wid")
     assert {(r.id, r["item"]) for r in near.collect()} == {(1, 1), (3, 2)}
 
