@@ -2,23 +2,27 @@
 
 Fingerprints of 64 bits link at ``MAX_BITS`` or fewer differing bits.  Such a pair
 differs in at most ``MAX_BITS`` of its 8 bytes, so it shares at least 8 - MAX_BITS = 6
-positional bytes, and, by pigeonhole, at least two of the four aligned byte pairs.
-Posting lists are therefore keyed by four positional bytes (two of the four pairs: six
-lists for each distinct fingerprint), not by one byte, whose 2048 lists would each hold
-1/256 of all fingerprints and make the candidates grow with the square of the input.
-For each candidate pair the shared positional bytes are tallied; pairs that reach the
-guaranteed minimum of 6 are retained and verified by their Hamming distance.
+positional bytes.  A list keyed by one positional byte would hold 1/256 of all
+fingerprints, and candidates would grow with the square of the input; so a list is keyed
+by four (position, value) bytes, one list for each of the 14 ``BLOCKS``.  These are the
+sets of four positions whose numbers cancel out under XOR: any three positions lie in
+exactly one of them.  So the number of lists in which a pair meets tells how many
+positional bytes it shares: 14 lists for 8 bytes, 7 for 7, 3 for 6, 1 for 5, and 1 or 0 for 4.
+The index is scanned for pairs, the lists of each pair are tallied, and the pairs that reach
+the guaranteed minimum (3 lists at two bits, :func:`least_lists`) are retained; their
+Hamming distance is then verified.
 
 Rows with one fingerprint are one entry of the index.  A list of more than
 ``LIST_LIMIT`` distinct fingerprints is not paired off: each of its fingerprints enters
 the 65 lists of the values at distance 0 or 1 from it.  Two fingerprints share such a
 value exactly if they differ in at most two bits, so linking each to the least one of
-the list keeps every connection, with work linear in the size of the list.
+the list keeps every connection, with work linear in the size of the list.  A pair whose
+tally lacks a long list lies in it with both its ends, so it is linked there.
 
 Defined results: a null text has no words and fingerprint zero, like a blank one, and
 zero links like any other; repeated rows belong to one component; a null id is ignored
 as a component's least id (null if all its ids are null); an empty table gives an empty
-table.  Other columns are not read.
+table.  Other columns are not read (:func:`one_of_each` carries them under any names).
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamtext.llm.common import in_arrow, written
@@ -37,7 +41,9 @@ from loamtext.llm.components import components
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 2
-LIST_LIMIT = 64
+LIST_LIMIT = 16
+#: Positions of the bytes that key a list: the 4-subsets of 0..7 whose XOR is 0.
+BLOCKS = [b for b in combinations(range(8), 4) if not b[0] ^ b[1] ^ b[2] ^ b[3]]
 #: Shingles whose bits are counted in one step.
 STEP = 1 << 16
 
@@ -75,40 +81,36 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return written(in_arrow(rows, run, f"id {id_type}, k2 long, fp long"), "fingerprints")
 
 
-def shared_bytes(x: Column, y: Column) -> Column:
-    """How many of the 8 positional bytes are equal."""
-    differ = x.bitwiseXOR(y)
-    return sum((F.when(F.shiftrightunsigned(differ, 8 * k).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for k in range(8)), F.lit(0))
+def least_lists(max_bits: int) -> int:
+    """The lists that a pair shares at least: blocks without any of ``max_bits`` positions."""
+    return min(sum(not set(b) & set(gone) for b in BLOCKS) for gone in combinations(range(8), max_bits))
 
 
 def _postings(distinct: DataFrame) -> DataFrame:
-    """(key, fp): six lists per fingerprint, each keyed by two of its four byte pairs."""
-    pair = [F.shiftrightunsigned(F.col("fp"), 16 * k).bitwiseAND(F.lit(65535)) for k in range(4)]
-    keys = [F.lit(n << 32) + F.shiftleft(pair[i], 16) + pair[j] for n, (i, j) in enumerate(combinations(range(4), 2))]
+    """(key, fp): a list for each block of positions and the values of its bytes."""
+    byte = [F.shiftrightunsigned(F.col("fp"), 8 * k).bitwiseAND(F.lit(255)) for k in range(8)]
+    keys = [sum((F.shiftleft(byte[p], 8 * i) for i, p in enumerate(b)), F.lit(n << 32)) for n, b in enumerate(BLOCKS)]
     return distinct.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
+def tallied(short_lists: DataFrame) -> DataFrame:
+    """(u, v, n): the number of lists ``(key, fp)`` in which two fingerprints meet."""
+    lists = short_lists.groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
+    later = lambda x, i: F.transform(F.slice("fps", i + 2, F.size("fps")), lambda y: F.struct(x.alias("u"), y.alias("v")))
+    met = lists.select(F.explode(F.flatten(F.transform("fps", later))).alias("p"))
+    return met.groupBy("p.u", "p.v").agg(F.count(F.lit(1)).alias("n"))
+
+
 def links(distinct: DataFrame, max_bits: int = MAX_BITS, list_limit: int = LIST_LIMIT) -> DataFrame:
     """Links (u, v) between distinct fingerprints that keep every connection."""
     if not 0 <= max_bits <= 2:
-        raise ValueError("the index guarantees candidates up to two differing bits")
+        raise ValueError("long lists are linked through values at distance 1, which reaches two differing bits")
     postings = written(_postings(distinct), "postings")
     sizes = written(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "posting_sizes")
     some = postings.join(sizes.where(F.col("n") <= list_limit).select("key"), "key")
     many = postings.join(sizes.where(F.col("n") > list_limit).select("key"), "key")
-
-    near = lambda x, y: (shared_bytes(x, y) >= 8 - max_bits) & (F.bit_count(x.bitwiseXOR(y)) <= max_bits)
-    lists = some.groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    pairs = lists.select(
-        F.explode(
-            F.flatten(
-                F.transform(
-                    "fps",
-                    lambda x, i: F.transform(F.filter(F.slice("fps", i + 2, F.size("fps")), lambda y: near(x, y)), lambda y: F.struct(x.alias("u"), y.alias("v"))),
-                )
-            )
-        ).alias("p")
-    ).select("p.u", "p.v")
+    retained = tallied(some).where(F.col("n") >= least_lists(max_bits))
+    pairs = retained.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits).select("u", "v")
 
     around = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit((1 << k) - (1 << 64 if k == 63 else 0))) for k in range(64)))
     centred = many.select("fp").distinct().select("fp", F.explode(around).alias("centre"))
@@ -142,14 +144,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The row of the least id (then text hash) of each component; of equal rows, one."""
+    inner = {c: f"_in_{k}" for k, c in enumerate(docs.columns)}
     members = near_duplicates(docs, id_col, text_col, **settings)
     least = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "k2")).alias("m")).select("component", F.col("m.id").alias("mid"), F.col("m.k2").alias("k2"))
     rows = members.groupBy("component", "id", "k2").agg(F.count(F.lit(1)).alias("n"))
     chosen = rows.join(least, ["component", "k2"]).where(F.col("id").eqNullSafe(F.col("mid")))
-    chosen = written(chosen.select(F.xxhash64(F.lit(1), "id").alias("_k1"), F.col("k2").alias("_k2"), "n"), "chosen")
-    keyed = docs.withColumns({"_k1": F.xxhash64(F.lit(1), id_col), "_k2": F.xxhash64(F.lit(2), text_col)})
-    once = keyed.join(chosen.where("n = 1").select("_k1", "_k2"), ["_k1", "_k2"], "left_semi")
-    often = chosen.where("n > 1").select("_k1", "_k2")
+    chosen = written(chosen.select(F.xxhash64(F.lit(1), "id").alias("k1"), "k2", "n"), "chosen")
+    keyed = docs.toDF(*inner.values()).withColumns({"k1": F.xxhash64(F.lit(1), inner[id_col]), "k2": F.xxhash64(F.lit(2), inner[text_col])})
+    once = keyed.join(chosen.where("n = 1").select("k1", "k2"), ["k1", "k2"], "left_semi")
+    often = chosen.where("n > 1").select("k1", "k2")
     if not often.isEmpty():
-        once = once.union(keyed.join(often, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]))
-    return once.drop("_k1", "_k2")
+        once = once.union(keyed.join(often, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
+    return once.select(*(F.col(v).alias(c) for c, v in inner.items()))

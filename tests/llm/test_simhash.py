@@ -85,3 +85,34 @@ def test_one_of_each(odd, odd_rows, none):
     rows = [tuple(r) for r in kept.collect()]
     assert sorted(label[brute_print(r[1])] for r in rows) == sorted(set(label.values()))
     assert simhash.one_of_each(none).count() == 0
+
+
+def test_the_number_of_lists_tells_the_shared_bytes(spark):
+    assert len(simhash.BLOCKS) == 14 and [simhash.least_lists(k) for k in (0, 1, 2)] == [14, 7, 3]
+    r = random.Random(3)
+    values = [r.getrandbits(64)]
+    for places in [(), (1,), (2, 5), (0, 3, 6), (1, 2, 3, 4), (0, 1, 2, 3, 4)]:
+        values.append(values[0] ^ sum(r.randrange(1, 256) << 8 * p for p in places))
+    df = spark.createDataFrame([(signed(v),) for v in {*values}], "fp long")
+    met = {frozenset((x.u, x.v)): x.n for x in simhash.tallied(simhash._postings(df)).collect()}
+    for v in values[2:]:
+        shared = sum((values[0] ^ v) >> 8 * p & 255 == 0 for p in range(8))
+        assert met.get(frozenset((signed(values[0]), signed(v))), 0) in {7: (7,), 6: (3,), 5: (1,), 4: (0, 1), 3: (0,)}[shared]
+
+
+def test_the_tally_removes_candidates(spark):
+    r = random.Random(4)
+    base = r.getrandbits(64)
+    # three differing bytes: such pairs meet in one list, and only the tally keeps them from being verified
+    values = sorted({signed(base ^ sum(r.randrange(1, 256) << 8 * p for p in r.sample(range(8), 3))) for _ in range(8)} | {signed(base), signed(base ^ 5)}, key=abs)
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    met = simhash.tallied(simhash._postings(df))
+    kept = met.where(f"n >= {simhash.least_lists(2)}")
+    assert kept.count() < met.count()
+    assert {frozenset((x.u, x.v)) for x in kept.collect()} >= {frozenset((signed(base), signed(base ^ 5)))}
+
+
+def test_one_of_each_carries_any_column(spark):
+    df = spark.createDataFrame([(1, "a b c", 5, 6), (2, "a b c", 7, 8)], "doc_id long, text string, _k1 int, k2 int")
+    assert [tuple(r) for r in simhash.one_of_each(df).collect()] == [(1, "a b c", 5, 6)]
+    assert simhash.one_of_each(df).columns == df.columns
