@@ -1,9 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule's cost and selectivity are estimated on a bounded sample; rules are then
-ordered greedily by rejection per cost, each measured on the sample rows that the
-rules before it let pass.  A document stops at the first rule that rejects it, so
-the verdict (the conjunction of all rules) does not depend on the order.
+The base rule comes first: its counts are part of the result, so every row pays for them.
+The other rules' costs and selectivities are estimated on a bounded sample, drawn by a hash
+of the rows; a cost is what a rule takes beyond the base counts, on the sample rows that the
+base rule lets pass.  Rules are then ordered greedily by rejection per cost, each measured
+on the rows that the rules before it let pass.  A document stops at the first rule that
+rejects it, so the verdict (the conjunction of all rules) does not depend on the order.
 
 Defined results: a null text has no words; a text without words fails the base
 rule; repeated rows are judged row by row; an empty table gives an empty table.
@@ -12,6 +14,7 @@ Only ``id_col`` and ``text_col`` are read, so other columns may have any name.
 
 from __future__ import annotations
 
+import copy
 import time
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -30,6 +33,9 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 class Features:
     """Counts over one text, each made when first asked for."""
 
@@ -81,6 +87,12 @@ class Features:
         return covered
 
 
+def base_counts(d: Features) -> tuple[list[int], bool]:
+    """The counts of the result, and whether the base rule rejects the text."""
+    counts = [getattr(d, name) for name in BASE]
+    return counts, d.n_words < MIN_WORDS or 100 * d.n_repeat_words > MAX_REPEAT_PERCENT * d.n_words
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -116,7 +128,7 @@ def order_rules(sample: list[tuple[int, list[float]]], names: list[str]) -> list
 
 
 def estimate_order(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """The order by rejection per cost on at most ``sample_rows`` rows.
+    """The order by rejection per cost on at most ``sample_rows`` rows, those of the least hashes.
 
     The rows are measured on the executors; a mask and a few numbers per sampled
     row come to the driver.
@@ -129,18 +141,24 @@ def estimate_order(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, .
         for b in batches:
             masks, costs = [], []
             for text in b.column(0).to_pylist():
-                mask, row = 0, []
-                if Features(text).n_words < MIN_WORDS:
+                mask, row, d = 0, [], Features(text)
+                if base_counts(d)[1]:
                     continue
                 for k, rule in enumerate(rules):
+                    # knows the base counts, as in the cascade, but nothing that another rule has made
+                    own = copy.copy(d)
                     began = time.perf_counter()
-                    mask |= bool(rule.rejects(Features(text))) << k
+                    mask |= bool(rule.rejects(own)) << k
                     row.append(time.perf_counter() - began)
                 masks.append(mask)
                 costs.append(row)
             yield pa.RecordBatch.from_arrays([pa.array(masks, pa.int64()), pa.array(costs, pa.list_(pa.float64()))], ["mask", "cost"])
 
-    sample = docs.select(F.col(text_col).alias("t")).sample(min(1.0, 2.0 * sample_rows / n), seed=7).limit(sample_rows)
+    # a third of the rows may be one text: the place in the scan enters the hash
+    mark = F.xxhash64(F.lit(7), F.monotonically_increasing_id(), F.col(text_col))
+    share = min(1.0, 2.0 * sample_rows / n)
+    some = docs.select(F.col(text_col).alias("t"), mark.alias("mark")).where(F.col("mark") <= min(2**63 - 1, int((2 * share - 1) * 2**63)))
+    sample = some.orderBy("mark").limit(sample_rows).select("t")
     rows = in_arrow(sample, measure, "mask long, cost array<double>").collect()
     return order_rules([(r.mask, list(r.cost)) for r in rows], [r.name for r in rules])
 
@@ -161,15 +179,15 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
             out: list[list] = [[] for _ in range(7)]
             for text in b.column(1).to_pylist():
                 d = Features(text)
-                failed = d.n_words < MIN_WORDS or 100 * d.n_repeat_words > MAX_REPEAT_PERCENT * d.n_words
+                counts, failed = base_counts(d)
                 kept = not failed and not any(r.rejects(d) for r in ordered)
-                for col, v in zip(out, (d.n_words, d.word_chars, d.n_symbols, d.n_dup_lines, d.n_repeat_words, failed, kept)):
+                for col, v in zip(out, (*counts, failed, kept)):
                     col.append(v)
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array(c, t) for c, t in zip(out, kinds))],
-                ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+                ["id", *BASE, "base_failed", "kept"],
             )
 
-    schema = f"id {id_type.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
+    schema = f"id {id_type.simpleString()}, {', '.join(f'{name} long' for name in BASE)}, base_failed boolean, kept boolean"
     return in_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), run, schema).withColumnRenamed("id", id_col)

@@ -37,3 +37,29 @@ def test_empty_table(none):
 
 def test_against_sql(compare, small):
     compare("op1_quality_rules", small)
+
+
+def test_costs_are_beyond_the_base_counts(spark, monkeypatch):
+    import time
+
+    class Slow(quality.Features):
+        @property
+        def n_repeat_words(self):  # made by the base rule: a rule that uses it pays nothing for it
+            if "n_repeat_words" not in self.__dict__:
+                time.sleep(0.002)
+                self.__dict__["n_repeat_words"] = 0
+            return self.__dict__["n_repeat_words"]
+
+    df = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(60))) for k in range(40)], "doc_id long, text string").coalesce(1)
+    rules = (quality.Rule("dear", lambda d: sum(range(30_000)) < 0 or len(d.words) > 0), quality.Rule("free", lambda d: d.n_repeat_words >= 0))
+    assert quality.estimate_order(df, rules=rules) == ["free", "dear"]
+
+
+def test_the_sample_is_bounded_and_taken_by_a_hash(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "order_rules", lambda sample, names: seen.extend(sample) or names)
+    words = " ".join(f"concat(id, 'x{k}')," for k in range(60))[:-1]
+    df = spark.range(5000).selectExpr("id as doc_id", f"concat_ws(' ', {words}) as text")
+    rule = quality.Rule("late", lambda d: int(d.words[0][:-2]) >= 2500)
+    quality.estimate_order(df, rules=(rule,), sample_rows=400)
+    assert len(seen) == 400 and 150 < sum(mask for mask, _ in seen) < 250
