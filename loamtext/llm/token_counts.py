@@ -12,8 +12,9 @@ independently.  Both encodings then have the border p, the tokens before p come
 the left chunk and those from p on from the right chunk.
 
 Defined results: null counts as the empty text, which has no tokens; a text without
-any white space in reach widens its overlap up to the whole text, which is then
-encoded in one piece; repeated rows are counted row by row; an empty table gives an
+any white space in reach widens its overlap up to the last border, and is then encoded
+from there in one piece of twice the length, so all tries together cost little more than the
+last; repeated rows are counted row by row; an empty table gives an
 empty table.  Other columns are not read.
 """
 
@@ -111,8 +112,8 @@ def count_huge(library: Library, text: str, chunk: int = CHUNK, overlap: int = O
         back, border = overlap, None
         while border is None:
             start = max(at, end - back)
-            if start == at:  # the overlap has reached the last border: encode it on, in one piece
-                end = min(len(text), end + chunk)
+            if start == at:  # the overlap has reached the last border: encode twice as much in one piece
+                end = min(len(text), 2 * end - at)
                 left = [at + s for s, _ in encode_spans(tok, text[at:end])]
                 break
             stop = min(len(text), start + chunk)

@@ -89,3 +89,15 @@ def test_pieces_of_odd_rows(odd, odd_rows, none):
     assert pieces.encode_documents(none, path).count() == 0
     plain = pieces.encode_documents(odd, path, digests=False).where("doc_id = 6").first()
     assert list(plain.ids) == sp.encode(odd_rows[6][1]) and plain.decoded == odd_rows[6][1]
+
+
+def test_a_million_characters_without_white_space(library):
+    import time
+
+    t = "".join(random.Random(2).choices("abcdefghijklmnop1234", k=1_000_000))
+    began = time.perf_counter()
+    whole = len(library.full.encode(t, add_special_tokens=False).ids)
+    alone = time.perf_counter() - began
+    began = time.perf_counter()
+    assert token_counts.count_batch(library, [t]) == [whole]
+    assert time.perf_counter() - began < 6 * alone + 2
