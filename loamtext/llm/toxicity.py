@@ -1,7 +1,9 @@
 """Toxicity by a linear-chain conditional random field over words.
 
 Fitting (on the driver, on a bounded sample of labelled rows: ``SAMPLE_ROWS`` rows of at
-most ``SAMPLE_CHARS`` characters):
+most ``SAMPLE_CHARS`` characters; of their stretches of ``STRETCH`` words at most
+``MAX_STRETCHES``, those with a toxic token first and then by a hash; at most
+``MAX_FEATURES`` features, the most strongly associated):
 
 1. Words and beginnings of words are associated with the label by the number of distinct
    neighbour pairs that they occur between in toxic and in other rows, so copies of a
@@ -14,8 +16,9 @@ most ``SAMPLE_CHARS`` characters):
    into its score.
 
 Scoring runs over every whole text.  Words without a feature share one potential, so the
-chain between words that have one is a power of one matrix; the marginals of the latter
-are exact, and no other word can be an offending one.  Scores use the text only.
+chain between words that have one is a power of one matrix, whatever its length; the
+marginals of the latter are exact, and no other word can be an offending one.  Scores use
+the text only.
 
 Defined results: a null text is scored as the empty one, which has no words; with no
 labelled rows, or only one class of them, every score is the share of toxic rows (0
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -55,7 +59,7 @@ MIN_ROWS = 4
 MIN_PAIRS = 5
 KEPT_ODDS = 1.5
 MIN_ODDS = 3.0
-#: Powers of the background matrix; beyond it the chain has forgotten its start.
+#: Powers of the background matrix that are made beforehand; higher ones when they are met.
 POWERS = 256
 THRESHOLD = 0.7
 _WORD = re.compile(r"\w+")
@@ -95,11 +99,20 @@ class Scorer:
         for _ in range(POWERS + 1):
             self.powers.append(power / power.sum())
             power = self.powers[-1] @ ground
+        # its largest eigenvalue is 1, so no power of it runs over or vanishes
+        self.whole = self.powers[POWERS] / np.abs(np.linalg.eigvals(self.powers[POWERS])).max()
+        self.higher: dict[int, np.ndarray] = {}
         self.first = np.exp(np.array(model.start))
         self.gate = {f.rstrip("*")[:GATE] for f in model.weights}
 
     def gap(self, n: int) -> np.ndarray:
-        return self.powers[min(n, POWERS)]
+        """The n-th power of the background matrix, but for a factor."""
+        if n > POWERS and n not in self.higher:
+            if len(self.higher) >= 10_000:
+                self.higher.clear()
+            power = self.powers[n % POWERS] @ np.linalg.matrix_power(self.whole, n // POWERS)
+            self.higher[n] = power / power.sum()
+        return self.powers[n] if n <= POWERS else self.higher[n]
 
     def marginals(self, at: list[int], weights: list[float], n_words: int) -> list[float]:
         """P(toxic) at the given word positions, by forward-backward over the whole chain."""
@@ -204,7 +217,7 @@ def associated(rows: list[tuple[str, int]]) -> tuple[dict[str, int], set[str]]:
 
 
 def stretches(rows: list[tuple[str, int]], vocabulary: dict[str, int], marked: set[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature ids (-1: none) and labels of stretches of STRETCH tokens, those with a mark first."""
+    """Feature ids (-1: none) and labels of stretches of STRETCH tokens, those with a mark first, then by a hash."""
     with_mark, without = [], []
     for text, toxic in rows:
         w = words_of(text)
@@ -213,9 +226,9 @@ def stretches(rows: list[tuple[str, int]], vocabulary: dict[str, int], marked: s
             keys = [feature_of(x, vocabulary) for x in part]
             ids = [-1 if x is None else vocabulary[x] for x in keys]
             labels = [int(toxic and x in marked) for x in keys]
-            (with_mark if any(labels) else without).append((ids, labels))
-    chosen = (with_mark + without)[:MAX_STRETCHES]
-    return np.array([c[0] for c in chosen], np.int64).reshape(-1, STRETCH), np.array([c[1] for c in chosen], np.int64).reshape(-1, STRETCH)
+            (with_mark if any(labels) else without).append((zlib.crc32(" ".join(part).encode("utf-8", "surrogatepass")), ids, labels))
+    chosen = (sorted(with_mark) + sorted(without))[:MAX_STRETCHES]
+    return np.array([c[1] for c in chosen], np.int64).reshape(-1, STRETCH), np.array([c[2] for c in chosen], np.int64).reshape(-1, STRETCH)
 
 
 def fit_field(ids: np.ndarray, labels: np.ndarray, n_words: int, rounds: int = 80, ridge: float = 1e-5) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
