@@ -74,7 +74,11 @@ def chunk_ends(data: bytes) -> list[int]:
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, k, at, n, digest)`` for each chunk, written; k tells rows with one id apart."""
+    """``(id, k, at, n, digest)`` for each chunk, written.
+
+    k tells rows with one id apart: a hash of the text in its upper half, which orders them,
+    and a number for the place in the scan in its lower half, for rows that are equal.
+    """
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +99,9 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 ["id", "k", "at", "n", "d1", "d2"],
             )
 
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("k"), F.col(text_col).alias("t"))
+    upper = F.xxhash64(F.lit(2), F.col(text_col)).bitwiseAND(F.lit(-1 << 32))
+    lower = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 32) - 1))
+    rows = docs.select(F.col(id_col).alias("id"), upper.bitwiseOR(lower).alias("k"), F.col(text_col).alias("t"))
     return written(in_arrow(rows, run, f"id {id_type}, k long, at int, n int, d1 long, d2 long"), "chunks")
 
 
@@ -109,11 +115,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     place = F.struct("id", "k", "at")
     seen = cut.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first")).where("times > 1")
     repeated = cut.join(seen, ["d1", "d2"]).select("id", "k", "at", "n", F.col("first.id").alias("first_id"), (place != F.col("first")).alias("later"))
-    by_doc = Window.partitionBy("k").orderBy("at")
+    by_doc = Window.partitionBy("id", "k").orderBy("at")
     apart = F.coalesce(F.col("at") > F.lag(F.col("at") + F.col("n")).over(by_doc), F.lit(True))
     runs = repeated.withColumn("run", F.sum(apart.cast("int")).over(by_doc))
-    spans = runs.groupBy("k", "run").agg(
-        F.first("id").alias("id"),
+    spans = runs.groupBy("id", "k", "run").agg(
         F.min("at").alias("start"),
         F.max(F.col("at") + F.col("n")).alias("end"),
         F.sum(F.when(F.col("later"), F.col("n")).otherwise(0)).alias("removed_bytes"),
@@ -125,10 +130,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def repeated_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_span: int = MIN_SPAN) -> DataFrame:
     """One row per document with repeated spans: ``id, n_spans, span_bytes, removed_bytes, spans``."""
     spans = repeated_spans(docs, id_col, text_col, min_span)
-    return spans.groupBy("k").agg(
-        F.first("id").alias(id_col),
+    return spans.groupBy("id", "k").agg(
         F.count(F.lit(1)).alias("n_spans"),
         F.sum(F.col("end") - F.col("start")).alias("span_bytes"),
         F.sum("removed_bytes").alias("removed_bytes"),
         F.array_sort(F.collect_list(F.struct("start", "end", "removed_bytes", "first_ids"))).alias("spans"),
-    ).drop("k")
+    ).drop("k").withColumnRenamed("id", id_col)
