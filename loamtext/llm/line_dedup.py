@@ -5,7 +5,7 @@ variable fields and become ``<*>``.  The tree has a fixed depth: token count, th
 first ``LEADING`` tokens; what arrives at one leaf is grouped into templates by
 comparing token by token (hashes of 32 bits).  Within a leaf, lines join the first
 template that shares at least ``SIMILARITY`` of its tokens; tokens that differ become
-variable.  Tokens travel only for lines whose leaf holds several different lines.
+variable.  Tokens are shuffled once, by leaf, for each distinct line of a task.
 
 A leaf is grouped as a whole, whatever its size: lines arrive in order of their keys and
 only templates are held.  A line and a template that may differ in d places share at least
@@ -15,13 +15,13 @@ found is compared in full; the result is that of a comparison with all of them.
 A template recurs when ``MIN_DOCS`` different texts hold it: rows with one text count
 once, so copies of a document are no reason to drop its lines.  Lines of a recurring
 template are dropped from every document but the first text that holds it (by least id,
-then text hash), which keeps one example in the corpus.
+then text hash; null ids come first), which keeps one example in the corpus.
 
 Defined results: a null text stays null and has no lines; blank lines and lines of fewer
 than ``MIN_TOKENS`` tokens are never dropped; lines of fewer than ``TREE_TOKENS`` tokens
 are templates of their own; repeated rows lose the same lines; a document whose lines
 are all dropped stays, with an empty text; an empty table gives an empty table.  Other
-columns are carried along under their own names.
+columns are carried along under their own names; one called ``_dropped`` as ``_dropped_in``.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamtext.llm.common import in_arrow, written
+from loamtext.llm.common import carried, in_arrow, written
 
 LEADING = 3
 SIMILARITY = 0.75
@@ -67,10 +67,11 @@ def _describe(line: str) -> tuple[int, int, list[bytes]] | None:
     return template, _number(b"%d " % n + b" ".join(tokens[:LEADING])), tokens
 
 
-def hash_tokens(tokens: list[bytes]) -> np.ndarray:
+def hash_tokens(tokens: list[bytes]) -> bytes:
+    """Four bytes for each token."""
     import xxhash
 
-    return np.fromiter(map(xxhash.xxh32_intdigest, tokens), np.uint32, len(tokens)).view(np.int32)
+    return b"".join(map(xxhash.xxh32_digest, tokens))
 
 
 def describe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,7 +82,7 @@ def describe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     names = ["id", *KEY, "line_no", "template", "leaf", "tokens"]
-    kinds = [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 2 + [pa.list_(pa.int32())]
+    kinds = [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 2 + [pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -104,7 +105,7 @@ def describe_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))], names)
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(1), id_col).alias("k1"), F.xxhash64(F.lit(2), text_col).alias("k2"), F.col(text_col).alias("t"))
-    schema = f"id {id_type}, k1 long, k2 long, line_no int, template long, leaf long, tokens array<int>"
+    schema = f"id {id_type}, k1 long, k2 long, line_no int, template long, leaf long, tokens binary"
     return written(in_arrow(rows, run, schema), "lines")
 
 
@@ -159,59 +160,51 @@ def group_leaf(templates: np.ndarray, blocks: np.ndarray, similarity: float = SI
     return np.array([found.join(t, row) for t, row in zip(templates.tolist(), blocks)], np.int64)
 
 
-def merged_templates(lines: DataFrame, similarity: float = SIMILARITY, leaf_lines: int | None = None) -> DataFrame:
-    """``(template, merged)`` for the lines whose leaf holds several different lines, written.
-
-    With ``leaf_lines``, leaves of more different lines are split by 2, 4 and 8 times the
-    leading tokens and then dropped, which loses templates; no query and no stage sets it.
-    """
-    held = lines.where("tokens is not null")
-    distinct = written(held.select("leaf", "template").distinct(), "templates")
-    several = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf")
-    to_group = written(distinct.join(several, "leaf").select("template"), "to_group")
-    every = written(held.select("template", "leaf", "tokens").join(to_group, "template"), "grouped").groupBy("template").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"))
-    if leaf_lines:
-        every = _split(every, leaf_lines)
-    sorted_leaves = every.repartition("leaf").sortWithinPartitions("leaf", "template")
+def merged_templates(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``(template, merged)`` for the lines that have joined another line's template, written."""
+    held = lines.where("tokens is not null").select("leaf", "template", "tokens")
+    sorted_leaves = held.repartition("leaf").sortWithinPartitions("leaf", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, found = None, None
+        at, last, first, found = None, None, None, None
         for b in batches:
-            for leaf, part in leaf_parts(b):
-                templates = part.column("template").to_numpy()
-                tokens = part.column("tokens").flatten().to_numpy().reshape(len(templates), -1)
-                if found is None or leaf != at:
-                    at, found = leaf, Templates(tokens.shape[1], similarity, LEADING)
-                made = [found.join(t, row) for t, row in zip(templates.tolist(), tokens)]
-                yield pa.RecordBatch.from_arrays([pa.array(templates), pa.array(made, pa.int64())], ["template", "merged"])
+            joined: list[tuple[int, int]] = []
+            for leaf, template, row in shared_leaves(b):
+                if leaf != at:
+                    at, first, found = leaf, (template, row.copy()), None
+                elif template != last:  # else another task's copy of the line
+                    if found is None:  # most leaves hold one line and need no templates
+                        found = Templates(len(row), similarity, LEADING)
+                        found.join(*first)
+                    merged = found.join(template, row)
+                    if merged != template:
+                        joined.append((template, merged))
+                last = template
+            cols = list(zip(*joined)) if joined else [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["template", "merged"])
 
     return written(in_arrow(sorted_leaves, run, "template long, merged long"), "merged")
 
 
-def _split(every: DataFrame, leaf_lines: int) -> DataFrame:
-    """``every`` with overfull leaves split by more leading tokens, and what stays overfull dropped."""
-    todo, done = written(every, "split"), []
-    for k in range(4):
-        leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING << k))
-        todo = todo.withColumn("leaf", leaf)
-        sized = todo.join(todo.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "leaf")
-        done.append(sized.where(F.col("n") <= leaf_lines).select("template", "leaf", "tokens"))
-        todo = written(sized.where(F.col("n") > leaf_lines).select("template", "leaf", "tokens"), "overfull")
-    return done[0].union(done[1]).union(done[2]).union(done[3])
-
-
-def leaf_parts(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """The rows of each leaf in a batch sorted by leaf."""
-    leaves = b.column("leaf").to_numpy()
-    edges = [0, *(np.nonzero(np.diff(leaves))[0] + 1).tolist(), len(leaves)] if len(leaves) else []
-    for at, end in pairwise(edges):
-        yield int(leaves[at]), b.slice(at, end - at)
+def shared_leaves(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Leaf, template and token hashes of the rows of a batch sorted by leaf, but for rows inside
+    the batch whose neighbours are of other leaves."""
+    leaves, templates, tokens = (b.column(c) for c in ("leaf", "template", "tokens"))
+    leaves, templates = leaves.to_numpy(), templates.to_numpy()
+    if not len(leaves):
+        return
+    equal = leaves[1:] == leaves[:-1]
+    shared = np.ones(len(leaves), bool)
+    shared[1:-1] = equal[:-1] | equal[1:]
+    ends = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(leaves) + 1]
+    for k in np.nonzero(shared)[0].tolist():
+        yield int(leaves[k]), int(templates[k]), np.frombuffer(tokens.buffers()[2], np.int32, (ends[k + 1] - ends[k]) // 4, ends[k])
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, leaf_lines: int | None = None) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """``(k1, k2, lines)``: the numbers of the lines to drop from each document."""
     lines = describe_lines(docs, id_col, text_col)
-    merged = merged_templates(lines, similarity, leaf_lines)
+    merged = merged_templates(lines, similarity)
     named = lines.join(merged, "template", "left").select("id", *KEY, "line_no", F.coalesce("merged", "template").alias("template"))
     # a text counts once, and the first to hold a template is the one with the least id
     holders = named.groupBy("template", "k2").agg(F.min(F.struct("id", *KEY)).alias("holder"))
@@ -231,5 +224,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = rows.withColumns({"k1": F.xxhash64(F.lit(1), the_id), "k2": F.xxhash64(F.lit(2), text)}).join(gone, KEY, "left")
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("lines", i)), "\n")
     cleaned = F.when(F.col("lines").isNull(), F.col(text)).otherwise(left)
-    back = [(cleaned if c == text_col else F.col(v)).alias(c) for c, v in inner.items()]
+    names = carried(docs.columns, "_dropped")
+    back = [(cleaned if c == text_col else F.col(v)).alias(name) for name, (c, v) in zip(names, inner.items())]
     return keyed.select(*back, F.coalesce(F.array_sort("lines"), F.array().cast("array<int>")).alias("_dropped"))
