@@ -70,3 +70,27 @@ def test_edited_copies_go(spark):
 def test_run_gives_the_last_stage(spark, folder):
     out = corpus_pipeline.run(spark, folder[0])
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 100
+
+
+def test_odd_rows_and_empty_tables(spark, odd, none, tmp_path):
+    for name, docs in (("odd", odd), ("none", none)):
+        path = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([(7, 1, 0), (8, None, 1), (None, 0, 1)] if name == "odd" else [], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        spark.createDataFrame([(1, None), (None, "a b"), (2, "one two three four five six seven eight")] if name == "odd" else [], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, path).collect()
+        if name == "none":
+            assert out == []
+            continue
+        ids = [r.doc_id for r in out]
+        # the row with a window of item 2 is gone, and one of the rows with fingerprint zero, of each group of copies, stays
+        assert 6 not in ids and ids.count(0) == 1 and not {1, 2, 3, 8} & set(ids)
+        assert ids.count(7) == 1 and {4, 5, 9, 10} <= set(ids)
+
+
+def test_a_stage_leaves_only_its_result(spark, folder):
+    from loamtext.llm import common
+
+    before = common.n_written()
+    corpus_pipeline.run(spark, folder[0])
+    assert common.n_written() == before + 1
