@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 MINUTES = (
@@ -21,8 +27,47 @@ ANSWER = "custom_id string, response string, error string"
 NO_ARTICLES = ("json", "py", "txt", "md", "cfg", "ini")
 
 
-def _stem(path: Column) -> Column:
-    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+def _stem(name: Column) -> Column:
+    return F.regexp_replace(name, r"\.[^.]*$", "")
+
+
+def _decoded(path: str) -> Column:
+    """A path or name as it was given: Spark's metadata has it percent-encoded."""
+    return F.url_decode(F.replace(F.col(path), F.lit("+"), F.lit("%2B")))
+
+
+def _name() -> Column:
+    return _decoded("_metadata.file_name")
+
+
+def _underscored(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, path, text, size`` of the files with a leading ``_``, which Spark's readers pass over.
+
+    The driver lists the folder, as Spark's readers do; executors read the files.
+    """
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, files = [], fs.listFiles(root, True)
+    while files.hasNext():
+        at = files.next().getPath()
+        if at.getName().startswith("_"):
+            found.append((at.getName(), at.toString(), at.toUri().toString().replace("file:/", "file:///", 1)))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        for b in batches:
+            texts, sizes = [], []
+            for uri in b.column(2).to_pylist():
+                store, inner = FileSystem.from_uri(uri)
+                with store.open_input_stream(inner) as f:
+                    data = f.readall()
+                texts.append(data.decode("utf-8", "replace"))
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], ["doc_id", "path", "text", "size"])
+
+    paths = spark.createDataFrame(found, "doc_id string, path string, uri string")
+    return paths.mapInArrow(read, "doc_id string, path string, text string, size long")
 
 
 def read_minutes(spark: SparkSession, path: str) -> DataFrame:
@@ -32,7 +77,7 @@ def read_minutes(spark: SparkSession, path: str) -> DataFrame:
     municipality is the file's stem.
     """
     files = spark.read.schema(MINUTES).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
-    towns = files.select(F.col("_metadata.file_path").alias("file"), F.posexplode("municipalities").alias("at", "m"))
+    towns = files.select(_name().alias("file"), F.posexplode("municipalities").alias("at", "m"))
     rows = towns.select("file", "at", F.coalesce("m.municipality", _stem(F.col("file"))).alias("municipality"), F.posexplode("m.minutes").alias("no", "x"))
     named = rows.select("file", "at", "no", "municipality", "x.*").where("minute_id <> ''")
     last = Window.partitionBy("minute_id").orderBy(F.desc("file"), F.desc("at"), F.desc("no"))
@@ -65,15 +110,50 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
     The id is the file's name; hidden and empty files and those of NO_ARTICLES are left
     out; of one name the last path stays.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"), F.col("_metadata.file_size").alias("size"))
-    ending = F.lower(F.regexp_extract(name, r"[^.]\.([^.]+)$", 1))
-    some = rows.withColumn("doc_id", name).where((F.col("size") > 0) & ~F.col("doc_id").startswith(".") & ~ending.isin(*NO_ARTICLES))
+    try:
+        files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+        seen = files.select(_name().alias("doc_id"), _decoded("_metadata.file_path").alias("path"), F.col("value").alias("text"), F.col("_metadata.file_size").alias("size"))
+        rows = seen.union(_underscored(spark, path))
+    except AnalysisException:  # the path is a file that Spark passes over
+        rows = _underscored(spark, path)
+    ending = F.lower(F.regexp_extract("doc_id", r"[^.]\.([^.]+)$", 1))
+    some = rows.where((F.col("size") > 0) & ~F.col("doc_id").startswith(".") & ~ending.isin(*NO_ARTICLES))
     last = Window.partitionBy("doc_id").orderBy(F.desc("path"))
     return some.withColumn("rank", F.row_number().over(last)).where("rank = 1").select("doc_id", "path", "text")
 
 
+@dataclass(frozen=True)
+class Corpus:
+    """Documents by id, read when they are asked for.
+
+    ``keys`` limits what is listed (:meth:`ids`, :meth:`rows`, ``len``), not what can be
+    looked up (:meth:`get`, ``in``).
+    """
+
+    docs: DataFrame
+    keys: tuple[str, ...] | None = None
+
+    def get(self, doc_id) -> DataFrame:
+        """The document's row; no row for an unknown id."""
+        return self.docs.where(F.col("doc_id") == F.lit(doc_id))
+
+    def __contains__(self, doc_id) -> bool:
+        return not self.get(doc_id).isEmpty()
+
+    def rows(self) -> DataFrame:
+        if self.keys is None:
+            return self.docs
+        kind = self.docs.schema["doc_id"].dataType
+        listed = self.docs.sparkSession.createDataFrame([(k,) for k in self.keys], StructType([StructField("doc_id", kind)]))
+        return self.docs.join(listed.distinct(), "doc_id", "left_semi")
+
+    def ids(self) -> DataFrame:
+        return self.rows().select("doc_id").orderBy("doc_id")
+
+    def __len__(self) -> int:
+        return self.rows().count()
+
+
 def first_documents(docs: DataFrame, limit: int | None = None) -> DataFrame:
     """Documents by id, the first ``limit`` of them."""
     ordered = docs.orderBy("doc_id")
@@ -83,7 +163,7 @@ def first_documents(docs: DataFrame, limit: int | None = None) -> DataFrame:
 def read_result(spark: SparkSession, path: str) -> DataFrame:
     """A result or ground-truth file, nested; ``doc_id`` is the file's stem."""
     df = spark.read.schema(RESULT).option("multiLine", True).json(path)
-    return df.select(_stem(F.col("_metadata.file_path")).alias("doc_id"), "agenda_items", "error")
+    return df.select(_stem(_name()).alias("doc_id"), "agenda_items", "error")
 
 
 def write_requests(requests: DataFrame, path: str, model: str, temperature: float = 0.1, max_tokens: int = 4096) -> None:
