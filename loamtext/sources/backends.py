@@ -25,10 +25,16 @@ class Backend(Protocol):
     def complete(self, prompt: str, schema: str | None = None) -> str: ...
 
 
-def backoff(attempt: int, message: str, base: float = 2.0) -> float:
+#: What a rate limit's message holds, the base delay, its growth and the longest delay in seconds.
+LIMIT_WORDS = ("429", "RESOURCE_EXHAUSTED")
+LIMIT_WORDS_ANY_CASE = ("rate limit",)
+BASE_DELAY, GROWTH, LIMIT_GROWTH, LONGEST_DELAY = 2.0, 2, 5, 60.0
+
+
+def backoff(attempt: int, message: str, base: float = BASE_DELAY) -> float:
     """Seconds to wait after failed attempt ``attempt`` (from 0); longer if a rate limit speaks."""
-    limited = "429" in message or "RESOURCE_EXHAUSTED" in message or "rate limit" in message.lower()
-    return min(base * 5**attempt, 60.0) if limited else base * 2**attempt
+    limited = any(w in message for w in LIMIT_WORDS) or any(w in message.lower() for w in LIMIT_WORDS_ANY_CASE)
+    return min(base * LIMIT_GROWTH**attempt, LONGEST_DELAY) if limited else base * GROWTH**attempt
 
 
 def complete_with_retry(backend: Backend, prompt: str, schema: str | None, attempts: int = 5, sleep: Callable[[float], None] = time.sleep) -> tuple[str | None, str | None, int]:
@@ -60,15 +66,18 @@ def run_requests(requests: DataFrame, make: Callable[[], Backend], attempts: int
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend, last = make(), 0.0
-        for frame in frames:
-            rows = []
-            for request_id, prompt, schema in frame.itertuples(index=False):
-                wait = last + spacing - time.monotonic()
-                if spacing and wait > 0:
-                    time.sleep(wait)
-                last = time.monotonic()
-                rows.append((request_id, *complete_with_retry(backend, prompt, schema, attempts)))
-            yield pd.DataFrame(rows, columns=["request_id", "response", "error", "attempts"])
+        try:
+            for frame in frames:
+                rows = []
+                for request_id, prompt, schema in frame.itertuples(index=False):
+                    wait = last + spacing - time.monotonic()
+                    if spacing and wait > 0:
+                        time.sleep(wait)
+                    last = time.monotonic()
+                    rows.append((request_id, *complete_with_retry(backend, prompt, schema, attempts)))
+                yield pd.DataFrame(rows, columns=["request_id", "response", "error", "attempts"])
+        finally:
+            getattr(backend, "close", lambda: None)()
 
     source = requests.repartition(rate.partitions) if rate else requests
     return source.select("request_id", "prompt", "schema").mapInPandas(run, RESPONSE)
@@ -147,16 +156,46 @@ def parts_text(answer: dict) -> str:
     return "".join(p.get("text", "") for p in answer["candidates"][0]["content"]["parts"])
 
 
+def memory_map(devices: dict[int, int], reserve: float = 0.1, cpu_gb: int | None = None) -> dict:
+    """Memory by device number for loading a model over several: total bytes less a reserve, in whole GiB."""
+    found: dict = {k: f"{int(total * (1 - reserve)) >> 30}GiB" for k, total in devices.items()}
+    return found | ({"cpu": f"{cpu_gb}GiB"} if cpu_gb else {})
+
+
 class LocalModel:
-    """A local transformers model, loaded once per task; needs that library on the executors."""
+    """A local transformers model, loaded once per task; needs that library on the executors.
 
-    def __init__(self, model: str, temperature: float = 0.1, max_tokens: int = 4096):
+    ``bits`` (4 or 8) quantizes the weights; with several devices the model is spread over
+    them by :func:`memory_map`; :meth:`close` gives the memory back.
+    """
+
+    def __init__(self, model: str, temperature: float = 0.1, max_tokens: int = 4096, bits: int | None = None, cpu_gb: int | None = None):
+        import torch
         from transformers import AutoModelForCausalLM, AutoTokenizer  # not part of the base installation
 
+        if bits not in (None, 4, 8):
+            raise ValueError("weights are quantized to 4 or 8 bits")
+        how: dict = {"device_map": "auto", "torch_dtype": "auto"}
+        if bits:
+            from transformers import BitsAndBytesConfig
+
+            how["quantization_config"] = BitsAndBytesConfig(**{f"load_in_{bits}bit": True})
+        if torch.cuda.device_count() > 1:
+            how["max_memory"] = memory_map({k: torch.cuda.get_device_properties(k).total_memory for k in range(torch.cuda.device_count())}, cpu_gb=cpu_gb)
         self.tokenizer = AutoTokenizer.from_pretrained(model)
-        self.model = AutoModelForCausalLM.from_pretrained(model, device_map="auto", torch_dtype="auto")
+        self.model = AutoModelForCausalLM.from_pretrained(model, **how)
         self.temperature, self.max_tokens = temperature, max_tokens
 
+    def close(self) -> None:
+        import gc
+
+        import torch
+
+        self.model = self.tokenizer = None
+        gc.collect()
+        if torch.cuda.is_available():
+            torch.cuda.empty_cache()
+
     def complete(self, prompt: str, schema: str | None = None) -> str:
         chat = self.tokenizer.apply_chat_template([{"role": "user", "content": prompt}], add_generation_prompt=True, return_tensors="pt").to(self.model.device)
         sampled = {"temperature": self.temperature} if self.temperature > 0 else {}
