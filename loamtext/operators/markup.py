@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Fixed value: the file format's heading line.
 HEADING = r"^={6,},([0-9]+),(.+?)\.?\s*$"
 
 

@@ -7,7 +7,6 @@ would accept it.  One Arrow-batched function does all strategies.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,8 +18,43 @@ from loamtext.functions import sentence_number
 #: Keys that may wrap the list, by kind of request.
 WRAPPERS = {"items": ("items",), "sections": ("items", "sections", "agenda_items"), "subjects": ("subjects",)}
 ITEM = "struct<item_title:string,theme:string,topics:array<string>,topics_is_list:boolean,start_id:string,end_id:string>"
-_FENCE = re.compile(r"```(?:json)?\s*\n(.*?)\n\s*```", re.DOTALL)
-_FENCE_MARK = re.compile(r"```(?:json)?\s*\n?")
+FENCE, LANGUAGE = "```", "json"
+
+
+def fenced(text: str) -> str | None:
+    """The inside of the first fenced block whose marks stand on lines of their own."""
+    at = text.find(FENCE)
+    while at >= 0:
+        rest = text[at + len(FENCE) :].removeprefix(LANGUAGE)
+        body = rest.lstrip()
+        breaks = rest[: len(rest) - len(body)].count("\n")
+        if breaks > 1 and body.startswith(FENCE):
+            return ""
+        stop = body.find(FENCE) if breaks else -1
+        while stop >= 0:
+            inside = body[:stop].rstrip()
+            if "\n" in body[len(inside) : stop]:
+                return inside
+            stop = body.find(FENCE, stop + 1)
+        at = text.find(FENCE, at + 1)
+    return None
+
+
+def without_fences(text: str) -> str:
+    first, *rest = text.split(FENCE)
+    return (first + "".join(x.removeprefix(LANGUAGE).lstrip() for x in rest)).strip()
+
+
+def list_under(text: str, key: str) -> str | None:
+    """From the bracket behind the first ``"key":`` that has one to the last bracket of the text."""
+    named, end = f'"{key}"', text.rfind("]")
+    at = text.find(named)
+    while 0 <= at < end:
+        value = text[at + len(named) : end + 1].lstrip()
+        if value[:1] == ":" and (value := value[1:].lstrip())[:1] == "[":
+            return value
+        at = text.find(named, at + 1)
+    return None
 
 
 def _loads(text: str):
@@ -47,8 +81,7 @@ def unwrap(text: str, kind: str) -> list | None:
     if kind == "subjects" or isinstance(whole, list):
         return None
     for key in keys:
-        m = re.search(rf'"{key}"\s*:\s*(\[.*\])', text, re.DOTALL)
-        found = _loads(m.group(1)) if m else None
+        found = _loads(list_under(text, key) or "")
         if isinstance(found, list):
             return found
     return None
@@ -58,8 +91,8 @@ def extract(text: str) -> list | None:
     """The first list that one of these gives: the whole text, the first fenced block, the
     outermost brackets, one object per line, the text without fences."""
     tries = [text]
-    if m := _FENCE.search(text):
-        tries.append(m.group(1))
+    if (block := fenced(text)) is not None:
+        tries.append(block)
     if (inner := _span(text, "[", "]")) is not None:
         tries.append(inner)
     for t in tries:
@@ -70,8 +103,8 @@ def extract(text: str) -> list | None:
     objects = [o for x in lines if x[:1] == "{" and x[-1:] == "}" and (o := _loads(x)) is not None]
     if objects:
         return objects
-    if "```" in text:
-        found = _loads(_FENCE_MARK.sub("", text).strip())
+    if FENCE in text:
+        found = _loads(without_fences(text))
         if isinstance(found, list):
             return found
     return None
