@@ -19,13 +19,15 @@ def by_start(*more: str) -> Window:
     return Window.partitionBy("doc_id", *more).orderBy("start_num", "idx")
 
 
-def validate(items: DataFrame, last_num: str = "n_sentences", first_num: int = 1, required: tuple[str, ...] = ()) -> DataFrame:
+def validate(items: DataFrame, last_num: str = "n_sentences", first_num: int | str = 1, required: tuple[str, ...] = (), keys: tuple[str, ...] = (), more: tuple[tuple[Column, str], ...] = ()) -> DataFrame:
     """``doc_id, idx, error`` rows: missing keys, unreadable ids, range, order, overlap.
 
-    ``start_num``/``end_num`` are null where an id is missing or unreadable.
+    ``start_num``/``end_num`` are null where an id is missing or unreadable.  ``keys`` names
+    what sets lists of one document apart, ``more`` adds checks.
     """
-    nxt = F.lead("start_num").over(by_start())
-    out_of_range = lambda c: F.col(c).isNotNull() & ((F.col(c) < first_num) | (F.col(c) > F.col(last_num)))
+    nxt = F.lead("start_num").over(by_start(*keys))
+    least = F.col(first_num) if isinstance(first_num, str) else F.lit(first_num)
+    out_of_range = lambda c: F.col(c).isNotNull() & ((F.col(c) < least) | (F.col(c) > F.col(last_num)))
     checks: list[tuple[Column, str]] = [
         (F.col("start_num").isNull(), "bad start_id"),
         (F.col("end_num").isNull(), "bad end_id"),
@@ -35,8 +37,24 @@ def validate(items: DataFrame, last_num: str = "n_sentences", first_num: int = 1
         (nxt <= F.col("end_num"), "overlaps the next"),
     ]
     checks += [(F.coalesce(F.col(c) == "", F.lit(True)), f"missing {c}") for c in required]
-    errors = F.array_compact(F.array(*(F.when(c, F.lit(m)) for c, m in checks)))
-    return items.select("doc_id", "idx", errors.alias("errors")).select("doc_id", "idx", F.explode("errors").alias("error"))
+    errors = F.array_compact(F.array(*(F.when(c, F.lit(m)) for c, m in (*checks, *more))))
+    return items.select("doc_id", *keys, "idx", errors.alias("errors")).select("doc_id", *keys, "idx", F.explode("errors").alias("error"))
+
+
+def validate_subjects(subjects: DataFrame, first_num: str, last_num: str, theme: bool = False, topics: bool = False) -> DataFrame:
+    """``doc_id, item_no, idx, error`` for the subjects of items that run from ``first_num`` to ``last_num``.
+
+    With ``theme`` and ``topics`` their keys must be there (``topics_is_list`` is null without
+    one), and topics must be a list.
+    """
+    more = []
+    if theme:
+        more.append((F.col("theme").isNull(), "missing theme"))
+    if topics:
+        placed = F.col("start_num").isNotNull() & F.col("end_num").isNotNull()
+        more.append((F.col("topics_is_list").isNull(), "missing topics"))
+        more.append((placed & ~F.coalesce("topics_is_list", F.lit(False)), "topics not a list"))
+    return validate(subjects, last_num, first_num, keys=("item_no",), more=tuple(more))
 
 
 def rebase(items: DataFrame, first: str) -> DataFrame:

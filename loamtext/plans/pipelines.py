@@ -49,12 +49,26 @@ class Config:
         return asdict(self)
 
 
+_cached: list[DataFrame] = []
+
+
+def release() -> None:
+    """Give back the tables that the flows of this process have cached; their results are recomputed if read again."""
+    while _cached:
+        _cached.pop().unpersist()
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """Cut lineage: a reliable checkpoint where a folder is set, else a cached table (tests)."""
+    """Cut lineage: a reliable checkpoint where a folder is set, else a cached table (tests).
+
+    Checkpoints go with ``spark.cleaner.referenceTracking.cleanCheckpoints``, cached tables
+    with :func:`release`.
+    """
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return df.checkpoint()
-    return df.cache()
+    _cached.append(df.cache())
+    return df
 
 
 def _lines(numbered: DataFrame, *keys: str) -> DataFrame:
@@ -64,7 +78,7 @@ def _lines(numbered: DataFrame, *keys: str) -> DataFrame:
     return listed.select(*keys, F.array_join(F.transform("l", lambda x: x.line), "\n").alias("lines"), "n")
 
 
-def _ask_parsed(requests: DataFrame, ask: Ask, kind: str, rounds: int) -> DataFrame:
+def asked_and_corrected(requests: DataFrame, ask: Ask, kind: str, rounds: int) -> DataFrame:
     """``request_id, response, items``: answers read, and asked for again where they could not be."""
     parsed = kept(parsing.parse_responses(ask(requests), kind).select("request_id", "response", "items"))
     for k in range(rounds):
@@ -98,7 +112,8 @@ def item_requests(sents: DataFrame, config: Config, hints: DataFrame | None = No
 def merge_chunk_items(rows: DataFrame, config: Config) -> DataFrame:
     """Absolute items of all chunks in one list per document (``doc_id, idx, start_num, end_num, title``)."""
     rebased = segments.rebase(rows, "first_num").where("start_num is not null and end_num is not null")
-    ordered = rebased.withColumn("idx", (F.col("chunk_no") * 100_000 + F.col("idx")).cast("int")).withColumn("title", F.coalesce("title", F.lit("")))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_no", "idx")) - 1
+    ordered = rebased.withColumn("idx", place).withColumn("title", F.coalesce("title", F.lit("")))
     if not config.sliding_window:
         return ordered.select("doc_id", "idx", "start_num", "end_num", "title")
     return segments.merge_anchored(ordered, max(3, config.chunk_overlap // 2))
@@ -113,7 +128,7 @@ def segment_minutes(docs: DataFrame, ask: Ask, config: Config | None = None, hin
     config = config or Config()
     sents = kept(sentences.split_sentences(docs))
     requests = kept(item_requests(sents, config, hints))
-    answers = _ask_parsed(requests.select("request_id", "prompt", "schema"), ask, "items", config.correction_rounds)
+    answers = asked_and_corrected(requests.select("request_id", "prompt", "schema"), ask, "items", config.correction_rounds)
     found = requests.select("request_id", "doc_id", "chunk_no", "first_num").join(answers, "request_id")
     merged = merge_chunk_items(parsing.parsed_items(found, "doc_id", "chunk_no", "first_num"), config)
     fixed = segments.fix_small_gaps(merged, config.gap_threshold) if config.fix_gaps else merged
@@ -125,20 +140,24 @@ def segment_minutes(docs: DataFrame, ask: Ask, config: Config | None = None, hin
     inner = items.select("doc_id", F.col("item_no").alias("chunk_no"), F.col("start_num").alias("first_num"), F.col("end_num").alias("last_num"))
     town = docs.select("doc_id", "municipality") if "municipality" in docs.columns else docs.select("doc_id", F.lit("").alias("municipality"))
     lines = _lines(chunks.chunk_sentences(sents, inner), "doc_id", "chunk_no").withColumnRenamed("chunk_no", "item_no")
-    named = lines.join(items.select("doc_id", "item_no", "title", "start_num"), ["doc_id", "item_no"]).join(town, "doc_id")
+    named = lines.join(items.select("doc_id", "item_no", "title", "start_num", "end_num"), ["doc_id", "item_no"]).join(town, "doc_id")
     asked = kept(
         named.select(
             F.concat_ws("/", F.lit("subjects"), F.col("doc_id").cast("string"), F.col("item_no").cast("string")).alias("request_id"),
             "doc_id",
             "item_no",
             F.col("start_num").alias("first_num"),
+            F.col("end_num").alias("last_num"),
             prompts.subjects_prompt(F.col("lines"), F.col("title"), F.col("municipality"), config.theme, config.topics, few_shot=config.few_shot).alias("prompt"),
             F.lit(prompts.subject_schema(config.theme, bool(config.topics))).alias("schema"),
         )
     )
-    told = _ask_parsed(asked.select("request_id", "prompt", "schema"), ask, "subjects", config.correction_rounds)
-    rows = parsing.parsed_items(asked.select("request_id", "doc_id", "item_no", "first_num").join(told, "request_id"), "doc_id", "item_no", "first_num")
-    rebased = segments.rebase(rows, "first_num").where("start_num is not null and end_num is not null")
+    told = asked_and_corrected(asked.select("request_id", "prompt", "schema"), ask, "subjects", config.correction_rounds)
+    rows = parsing.parsed_items(asked.select("request_id", "doc_id", "item_no", "first_num", "last_num").join(told, "request_id"), "doc_id", "item_no", "first_num", "last_num")
+    absolute = segments.rebase(rows, "first_num")
+    bad_subjects = segments.validate_subjects(absolute, "first_num", "last_num", config.theme, bool(config.topics)).withColumn("stage", F.lit("subjects"))
+    errors = errors.withColumn("item_no", F.lit(None).cast("int")).unionByName(bad_subjects)
+    rebased = absolute.where("start_num is not null and end_num is not null")
     themed = rebased.select("doc_id", "item_no", "idx", "start_num", "end_num", "theme", "topics")
     unread = asked.join(told.where("items is null"), "request_id").select("doc_id", "item_no")
     whole = items.join(unread, ["doc_id", "item_no"], "left_semi")
@@ -169,7 +188,7 @@ def expand_level(frontier: DataFrame, sents: DataFrame, ask: Ask, config: Config
     requests = lines.join(nodes.select("request_id", "title"), "request_id").select(
         "request_id", prompts.sections_prompt(F.col("lines"), F.col("n"), F.col("title"), config.few_shot).alias("prompt"), F.lit(prompts.ITEM_SCHEMA).alias("schema")
     )
-    answers = _ask_parsed(requests, ask, "sections", config.correction_rounds).where(F.size("items") > 1)
+    answers = asked_and_corrected(requests, ask, "sections", config.correction_rounds).where(F.size("items") > 1)
     parents = nodes.select("request_id", "doc_id", "path", F.sequence("start_num", "end_num").alias("numbers"), F.col("start_num").alias("node_first"), F.col("end_num").alias("node_last"))
     rows = parsing.parsed_items(parents.join(answers, "request_id"), "request_id", "doc_id", "path", "numbers", "node_first", "node_last")
     items = segments.rebase_clamped(rows, "numbers").withColumn("node", F.col("request_id"))
