@@ -7,7 +7,10 @@ of the segments, so they make the pairs that overlap or nearly match and no othe
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -64,22 +67,32 @@ def sentence_starts_from_lengths(sentences: DataFrame) -> DataFrame:
 
 
 def _greedy(pairs: DataFrame) -> DataFrame:
-    """``doc_id, p, g, cost``: in order of p, each takes the cheapest g still free (least g on ties).
+    """``doc_id, p, g``: in order of p, each takes the cheapest g still free (least g on ties).
 
-    The choice of one depends on all before it, so it is a fold over a document's
-    candidates, which the joins before have cut down to a few for each p.
+    The choice of one depends on all before it: one pass over a document's candidates, which
+    the joins before have cut down to a few for each p.
     """
-    per_p = pairs.groupBy("doc_id", "p").agg(F.array_sort(F.collect_list(F.struct("cost", "g"))).alias("c"))
-    per_doc = per_p.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("p", "c"))).alias("l"))
-    kind = "array<struct<p:int,g:int>>"
+    listed = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("p", "cost", "g"))).alias("l"))
+    numbers = lambda name: F.transform("l", lambda x: x[name].cast("int"))
+
+    @F.pandas_udf("array<boolean>")
+    def takes(ps: pd.Series, gs: pd.Series) -> pd.Series:
+        def walk(p_row, g_row) -> list[bool]:
+            used: set[int] = set()
+            last, out = None, []
+            for p, g in zip(p_row.tolist(), g_row.tolist()):
+                free = p != last and g not in used
+                if free:
+                    last = p
+                    used.add(g)
+                out.append(free)
+            return out
 
-    def take(acc: Column, x: Column) -> Column:
-        used = F.transform(acc, lambda m: m.g)
-        free = F.filter(x.c, lambda c: ~F.array_contains(used, c.g))
-        return F.when(F.size(free) > 0, F.concat(acc, F.array(F.struct(x.p.cast("int").alias("p"), F.get(free, F.lit(0)).g.cast("int").alias("g"))))).otherwise(acc)
+        return pd.Series([walk(a, b) for a, b in zip(ps, gs)], dtype=object)
 
-    taken = F.aggregate("l", F.array().cast(kind), take)
-    return per_doc.select("doc_id", F.explode(taken).alias("m")).select("doc_id", "m.p", "m.g")
+    taken = listed.select("doc_id", numbers("p").alias("p"), numbers("g").alias("g")).withColumn("t", takes("p", "g"))
+    rows = taken.select("doc_id", F.explode(F.arrays_zip("p", "g", "t")).alias("m"))
+    return rows.where("m.t").select("doc_id", "m.p", "m.g")
 
 
 def match_boundaries(pred: DataFrame, gt: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
@@ -174,39 +187,64 @@ def aligned(ref: Column, hyp: Column) -> tuple[Column, Column]:
     return pad(ref, total(hyp) - total(ref)), pad(hyp, total(ref) - total(hyp))
 
 
-def borders(m: Column) -> Column:
-    """Positions of the inner borders of a mass array."""
-    sums = F.aggregate(m, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x)))
-    return F.slice(sums, F.lit(1), F.greatest(F.size(sums) - 1, F.lit(0)))
+def _border_rows(both: DataFrame) -> DataFrame:
+    """``doc_id, total, n_ref, n_hyp, side, pos``: the inner borders of both mass arrays (side 0: ref, 1: hyp).
+
+    Every document has a row; ``pos`` is null where a side has no inner border.
+    """
+    sizes = both.select("doc_id", "ref", "hyp", F.size("ref").alias("n_ref"), F.size("hyp").alias("n_hyp"))
+    sided = lambda name, side: F.transform(name, lambda m, i: F.struct(F.lit(side).alias("side"), i.alias("i"), m.alias("m")))
+    rows = sizes.select("doc_id", "n_ref", "n_hyp", F.explode_outer(F.concat(sided("ref", 0), sided("hyp", 1))).alias("x")).select("doc_id", "n_ref", "n_hyp", "x.*")
+    by_side = Window.partitionBy("doc_id", "side").orderBy("i")
+    total = F.sum("m").over(Window.partitionBy("doc_id", "side"))
+    last = F.col("i") + 1 == F.when(F.col("side") == 0, F.col("n_ref")).otherwise(F.col("n_hyp"))
+    return rows.select("doc_id", total.alias("total"), "n_ref", "n_hyp", "side", F.when(~last, F.sum("m").over(by_side)).alias("pos"))
 
 
 def window_metrics(both: DataFrame) -> DataFrame:
     """``pk`` and ``windowdiff`` from ``doc_id, ref, hyp`` (masses of equal total).
 
-    Windows of k = half the mean true mass, at least 2.  Units are rows, so a long
-    document is scored by sums, not by an array walk; 1.0 where no window fits.
+    Windows of k = half the mean true mass, at least 2; 1.0 where no window fits.  The
+    number of borders in a window changes only where the window meets or leaves a border,
+    so the windows between two such places are counted at once: the rows are borders, not
+    units, and all steps are dealt by document.
     """
-    total = F.aggregate("ref", F.lit(0), lambda a, x: a + x)
-    k = F.greatest(F.lit(2), F.round(total / F.size("ref") / 2).cast("int"))
-    base = both.where("size(ref) > 0 and size(hyp) > 0").select("doc_id", "ref", "hyp", total.alias("n"), k.alias("k"))
-    unit = base.select("doc_id", "n", "k", borders(F.col("ref")).alias("rb"), borders(F.col("hyp")).alias("hb"))
-    marks = (
-        unit.select("doc_id", "n", "k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("u"))
-        .join(unit.select("doc_id", F.explode("rb").alias("u"), F.lit(1).alias("r")), ["doc_id", "u"], "left")
-        .join(unit.select("doc_id", F.explode("hb").alias("u"), F.lit(1).alias("h")), ["doc_id", "u"], "left")
-        .fillna(0, ["r", "h"])
+    k = F.greatest(F.lit(2), F.round(F.col("total") / F.col("n_ref") / 2).cast("long"))
+    base = _border_rows(both).withColumn("n", F.when((F.col("n_ref") > 0) & (F.col("n_hyp") > 0), F.greatest(F.col("total") - k, F.lit(0))).otherwise(0))
+    one = F.when(F.col("pos").isNull(), 0).otherwise(1)
+    step = lambda at, d: F.struct(at.cast("long").alias("at"), (F.when(F.col("side") == 0, one).otherwise(0) * d).alias("r"), (F.when(F.col("side") == 1, one).otherwise(0) * d).alias("h"))
+    steps = F.array(step(F.lit(0), 0), step(F.greatest(F.coalesce(F.col("pos") - k, F.lit(0)), F.lit(0)), 1), step(F.coalesce("pos", F.lit(0)), -1))
+    places = base.select("doc_id", "n", F.explode(steps).alias("s")).select("doc_id", "n", "s.*").where("at < n or at = 0")
+    by_place = Window.partitionBy("doc_id").orderBy("at")
+    counted = places.select(
+        "doc_id",
+        "n",
+        F.sum("r").over(by_place).alias("r"),  # peers included: the count behind all steps at this place
+        F.sum("h").over(by_place).alias("h"),
+        (F.least(F.coalesce(F.lead("at").over(by_place), F.col("n")), F.col("n")) - F.col("at")).alias("windows"),
     )
-    w = Window.partitionBy("doc_id").orderBy("u")
-    labels = marks.select("doc_id", "u", "n", "k", F.sum("r").over(w).alias("r"), F.sum("h").over(w).alias("h"))
-    later = labels.select("doc_id", (F.col("u") - F.col("k")).alias("u"), F.col("r").alias("r2"), F.col("h").alias("h2")).where("u >= 0")
-    dr, dh = F.col("r2") - F.col("r"), F.col("h2") - F.col("h")
-    sums = labels.join(later, ["doc_id", "u"]).groupBy("doc_id").agg(
-        F.sum(F.when((dr == 0) != (dh == 0), 1).otherwise(0)).alias("pk_errors"),
-        F.sum(F.when(dr != dh, 1).otherwise(0)).alias("wd_errors"),
-        F.count(F.lit(1)).alias("windows"),
+    errors = lambda wrong: F.sum(F.when(wrong, F.col("windows")).otherwise(0))
+    sums = counted.groupBy("doc_id").agg(
+        errors((F.col("r") == 0) != (F.col("h") == 0)).alias("pk_errors"), errors(F.col("r") != F.col("h")).alias("wd_errors"), F.max("n").alias("windows")
     )
     part = lambda c: F.when(F.col("windows") > 0, F.col(c) / F.col("windows")).otherwise(F.lit(1.0))
-    return both.select("doc_id").join(sums, "doc_id", "left").select("doc_id", part("pk_errors").alias("pk"), part("wd_errors").alias("windowdiff"))
+    return sums.select("doc_id", part("pk_errors").alias("pk"), part("wd_errors").alias("windowdiff"))
+
+
+def near_pairs(labels: Column) -> Column:
+    """Pairs of neighbours in a run of adjacent borders, ``r`` (true) and ``h`` (predicted).
+
+    In order, each ``r`` takes the ``h`` before it if that is free, else the one behind it, so
+    all that matters is the border before: 1 a free ``h``, 2 an ``r`` that has none yet.
+    """
+    start = F.struct(F.lit(0).alias("pairs"), F.lit(0).alias("open"))
+
+    def add(acc: Column, label: Column) -> Column:
+        mine, other = F.when(label == "h", 1).otherwise(2), F.when(label == "h", 2).otherwise(1)
+        met = acc["open"] == other
+        return F.struct((acc["pairs"] + F.when(met, 1).otherwise(0)).alias("pairs"), F.when(met, 0).otherwise(mine).alias("open"))
+
+    return F.aggregate(labels, start, add, lambda acc: acc["pairs"])
 
 
 def border_edits(both: DataFrame, near_weight: float = 0.5) -> DataFrame:
@@ -214,24 +252,27 @@ def border_edits(both: DataFrame, near_weight: float = 0.5) -> DataFrame:
 
     Columns: ``matches, near, additions`` (all other borders of either side),
     ``similarity`` and precision, recall and F of the border confusion, in which a near
-    miss counts ``near_weight`` as a match.
+    miss counts ``near_weight`` as a match.  The rows are borders; all steps are dealt by document.
     """
-    split = both.select("doc_id", borders(F.col("ref")).alias("rb"), borders(F.col("hyp")).alias("hb"))
-    left = split.select("doc_id", F.size(F.array_intersect("rb", "hb")).alias("matches"), F.array_sort(F.array_except("rb", "hb")).alias("r"), F.array_sort(F.array_except("hb", "rb")).alias("h"))
-
-    def pair(acc: Column, x: Column) -> Column:
-        other = F.get(F.filter("h", lambda y: (F.abs(y - x) == 1) & ~F.array_contains(acc, y)), F.lit(0))
-        return F.when(other.isNotNull(), F.concat(acc, F.array(other))).otherwise(acc)
-
-    paired = left.select("doc_id", "matches", "r", "h", F.size(F.aggregate("r", F.array().cast("array<int>"), pair)).alias("near"))
-    edits = paired.select("doc_id", "matches", "near", (F.size("r") - F.col("near")).alias("missed"), (F.size("h") - F.col("near")).alias("extra"))
+    places = _border_rows(both).groupBy("doc_id", "pos").agg(F.max(F.when(F.col("side") == 0, 1).otherwise(0)).alias("r"), F.max(F.when(F.col("side") == 1, 1).otherwise(0)).alias("h"))
+    label = F.when(F.col("pos").isNull(), "none").when((F.col("r") == 1) & (F.col("h") == 1), "both").when(F.col("r") == 1, "r").otherwise("h")
+    by_place = Window.partitionBy("doc_id").orderBy("pos")
+    marked = places.select("doc_id", "pos", label.alias("label"))
+    alone = F.col("label").isin("r", "h")
+    follows = alone & F.coalesce((F.lag("pos").over(by_place) == F.col("pos") - 1) & F.lag(alone).over(by_place), F.lit(False))
+    runs = marked.withColumn("opens", F.when(follows, 0).otherwise(1)).withColumn("run", F.sum("opens").over(by_place))
+    listed = runs.groupBy("doc_id", "run").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: x.label).alias("l"))
+    of = lambda name: F.size(F.filter("l", lambda x: x == name))
+    edits = listed.select("doc_id", of("both").alias("both"), of("r").alias("r"), of("h").alias("h"), near_pairs(F.filter("l", lambda x: x.isin("r", "h"))).alias("near"))
+    sums = edits.groupBy("doc_id").agg(*(F.sum(c).cast("int").alias(n) for c, n in (("both", "matches"), ("near", "near"), ("r", "r"), ("h", "h"))))
+    sums = sums.select("doc_id", "matches", "near", (F.col("r") - F.col("near")).alias("missed"), (F.col("h") - F.col("near")).alias("extra"))
     additions = F.col("missed") + F.col("extra")
     every = additions + F.col("near") + F.col("matches")
     similarity = F.when(every > 0, 1 - (additions + near_weight * F.col("near")) / every).otherwise(F.lit(1.0))
     good = F.col("matches") + near_weight * F.col("near")
     precision = ratio(good, F.col("matches") + F.col("near") + F.col("extra"))
     recall = ratio(good, F.col("matches") + F.col("near") + F.col("missed"))
-    return edits.select(
+    return sums.select(
         "doc_id",
         "matches",
         "near",
@@ -260,33 +301,53 @@ def segmentation_metrics(pred: DataFrame, gt: DataFrame) -> DataFrame:
     return out.fillna(1.0, ["pk", "windowdiff"]).fillna(0.0, ["boundary_similarity", "bed_precision", "bed_recall", "bed_fmeasure"])
 
 
+def _clean_theme(c: str) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"^\s+|\s+$", "")
+
+
+def matched_pairs(pred: DataFrame, gt: DataFrame, **columns: Column) -> DataFrame:
+    """``doc_id, p, g`` of the matched pairs, and ``<name>_p``, ``<name>_g`` for each of ``columns``."""
+    side = lambda df, key: df.select("doc_id", F.col("idx").alias(key), *(c.alias(f"{name}_{key}") for name, c in columns.items()))
+    return match_by_iou(pred, gt).join(side(pred, "p"), ["doc_id", "p"]).join(side(gt, "g"), ["doc_id", "g"])
+
+
 def theme_accuracy(pred: DataFrame, gt: DataFrame) -> DataFrame:
     """``doc_id, matched, agreeing, theme_accuracy`` over the matched pairs.
 
     Themes agree if one contains the other, lower-cased and stripped.
     """
-    clean = lambda c: F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"^\s+|\s+$", "")
-    pairs = (
-        match_by_iou(pred, gt)
-        .join(pred.select("doc_id", F.col("idx").alias("p"), clean("theme").alias("a")), ["doc_id", "p"])
-        .join(gt.select("doc_id", F.col("idx").alias("g"), clean("theme").alias("b")), ["doc_id", "g"])
-    )
-    agree = F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a"))
+    pairs = matched_pairs(pred, gt, theme=_clean_theme("theme"))
+    agree = F.col("theme_p").contains(F.col("theme_g")) | F.col("theme_g").contains(F.col("theme_p"))
     found = pairs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("matched"), F.sum(F.when(agree, 1).otherwise(0)).alias("agreeing"))
     out = counts(pred, gt).where("num_predicted > 0 and num_ground_truth > 0").select("doc_id").join(found, "doc_id", "left").fillna(0, ["matched", "agreeing"])
     return out.withColumn("theme_accuracy", ratio(F.col("agreeing"), F.col("matched")))
 
 
+def theme_similarity(pred: DataFrame, gt: DataFrame, scorer: Callable[[list[str], list[str]], tuple]) -> DataFrame:
+    """``doc_id, theme_bertscore_precision, _recall, _f1``: means over the matched pairs.
+
+    ``scorer`` gives precision, recall and F1 for each pair of two lists of themes, as the
+    scorers of neural similarity do; it runs on the executors, batch by batch.  A blank
+    theme is given as one space.  Documents without matched pairs have no row.
+    """
+    theme = F.coalesce("theme", F.lit(""))
+    pairs = matched_pairs(pred, gt, theme=F.when(theme.rlike(r"\S"), theme).otherwise(" "))
+    kinds = "precision double, recall double, f1 double"
+
+    @F.pandas_udf(kinds)
+    def scored(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        columns = scorer(a.tolist(), b.tolist())
+        return pd.DataFrame({n: [float(x) for x in c] for n, c in zip(("precision", "recall", "f1"), columns)})
+
+    rows = pairs.select("doc_id", scored("theme_p", "theme_g").alias("s"))
+    return rows.groupBy("doc_id").agg(*(F.avg(f"s.{n}").alias(f"theme_bertscore_{n}") for n in ("precision", "recall", "f1")))
+
+
 def topic_scores(pred: DataFrame, gt: DataFrame) -> DataFrame:
     """Micro precision, recall and F1 of the topic sets over the matched pairs."""
-    topics = lambda name: F.array_distinct(F.coalesce("topics", F.array().cast("array<string>"))).alias(name)
-    pairs = (
-        match_by_iou(pred, gt)
-        .join(pred.select("doc_id", F.col("idx").alias("p"), topics("a")), ["doc_id", "p"])
-        .join(gt.select("doc_id", F.col("idx").alias("g"), topics("b")), ["doc_id", "g"])
-    )
+    pairs = matched_pairs(pred, gt, topics=F.array_distinct(F.coalesce("topics", F.array().cast("array<string>"))))
     sums = pairs.groupBy("doc_id").agg(
-        F.sum(F.size(F.array_intersect("a", "b"))).alias("shared"), F.sum(F.size("a")).alias("n_pred"), F.sum(F.size("b")).alias("n_gt")
+        F.sum(F.size(F.array_intersect("topics_p", "topics_g"))).alias("shared"), F.sum(F.size("topics_p")).alias("n_pred"), F.sum(F.size("topics_g")).alias("n_gt")
     )
     out = counts(pred, gt).where("num_predicted > 0 and num_ground_truth > 0").select("doc_id").join(sums, "doc_id", "left").fillna(0, ["shared", "n_pred", "n_gt"])
     precision, recall = ratio(F.col("shared"), F.col("n_pred")), ratio(F.col("shared"), F.col("n_gt"))
@@ -320,6 +381,62 @@ def overall(pred_items: DataFrame, gt_items: DataFrame, pred_subjects: DataFrame
     return every.withColumns({"avg_subjects_pred": ratio(F.col("pred_subjects"), F.col("pred_items")), "avg_subjects_gt": ratio(F.col("gt_subjects"), F.col("gt_items"))})
 
 
+def nested_items(result: DataFrame) -> DataFrame:
+    """``doc_id, idx, start, end`` of the items of nested results (``doc_id, agenda_items``)."""
+    return result.select("doc_id", F.posexplode("agenda_items").alias("idx", "i")).select("doc_id", "idx", "i.start", "i.end")
+
+
+def nested_subjects(result: DataFrame) -> DataFrame:
+    """``doc_id, idx, start, end, theme, topics`` of the subjects of all items, in order."""
+    subjects = F.flatten(F.transform("agenda_items", lambda i: F.coalesce(i.subjects, F.array().cast(dict(result.select(F.col("agenda_items")[0]["subjects"].alias("s")).dtypes)["s"]))))
+    rows = result.select("doc_id", F.posexplode(subjects).alias("idx", "s"))
+    return rows.select("doc_id", "idx", "s.start", "s.end", "s.theme", "s.topics")
+
+
+def evaluate_hierarchical(pred: DataFrame, gt: DataFrame, sentences: DataFrame | None = None, tolerance: int = TOLERANCE) -> dict[str, DataFrame]:
+    """Both levels of nested results and their totals: ``agenda_items``, ``subjects``, ``overall``.
+
+    A level is scored for the documents that have segments of it on both sides.  Topics
+    count only where the first subject of either side has a list of them.
+    """
+    levels = {}
+    sides = {"agenda_items": (nested_items(pred), nested_items(gt)), "subjects": (nested_subjects(pred), nested_subjects(gt))}
+    for name, (p, g) in sides.items():
+        p, g = p.join(g.select("doc_id").distinct(), "doc_id", "left_semi"), g.join(p.select("doc_id").distinct(), "doc_id", "left_semi")
+        if name == "agenda_items":
+            levels[name] = evaluate_level(p, g, sentences, tolerance)
+            continue
+        out = evaluate_subjects(p, g, sentences, tolerance)
+        first = lambda df, c: df.where("idx = 0").select("doc_id", F.col("topics").isNotNull().alias(c))
+        known = first(p, "in_p").join(first(g, "in_g"), "doc_id")
+        gated = out.join(known, "doc_id")
+        topics = {c: F.when(F.col("in_p") & F.col("in_g"), F.col(c)) for c in ("topic_precision", "topic_recall", "topic_f1")}
+        levels[name] = gated.withColumns(topics).drop("in_p", "in_g")
+    both = pred.select("doc_id").union(gt.select("doc_id")).distinct()
+    totals = overall(sides["agenda_items"][0], sides["agenda_items"][1], sides["subjects"][0], sides["subjects"][1])
+    levels["overall"] = both.join(totals, "doc_id", "left").fillna(0)
+    return levels
+
+
+def evaluate_files(spark: SparkSession, pred_path: str, gt_path: str, tolerance: int = TOLERANCE, verbose: bool = True) -> dict[str, DataFrame]:
+    """:func:`evaluate_hierarchical` of result files, without sentences: units are characters.
+
+    Files of two folders are matched by their stems; two single files are matched whatever
+    their names.  With ``verbose`` the driver prints the report of each document.
+    """
+    from loamtext.sources.corpora import read_result
+
+    pred, gt = read_result(spark, pred_path), read_result(spark, gt_path)
+    if pred_path.endswith(".json") and gt_path.endswith(".json"):
+        gt = gt.withColumn("doc_id", F.lit(pred.first()["doc_id"]))
+    levels = evaluate_hierarchical(pred, gt, None, tolerance)
+    if verbose:
+        for name, df in levels.items():
+            for r in report(df, [c for c, kind in df.dtypes if c != "doc_id" and kind != "string"]).orderBy("doc_id").toLocalIterator():
+                print(f"{name} of {r.doc_id}: {r.line}")
+    return levels
+
+
 def corpus_summary(metrics: DataFrame, *groups: str) -> DataFrame:
     """Macro means and micro precision/recall over a ``rollup`` of the given columns."""
     tp, n, m = F.sum("true_positives"), F.sum("num_predicted"), F.sum("num_ground_truth")
@@ -337,6 +454,10 @@ def report(metrics: DataFrame, columns: list[str]) -> DataFrame:
 
     Python rounds the exact binary value (1/32 is 0.0312), Java's formats the shortest decimal.
     """
-    four = F.udf(lambda x: "null" if x is None else f"{x:.4f}", "string")
+
+    @F.pandas_udf("string")
+    def four(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: "null" if x != x else f"{x:.4f}")
+
     parts = [F.concat(F.lit(f"{c}: "), four(F.col(c).cast("double"))) for c in columns]
     return metrics.select("doc_id", F.concat_ws(", ", *parts).alias("line"))

@@ -11,5 +11,5 @@ def test_ties_are_rounded_as_in_python(spark):
 
 
 def test_every_scored_document_has_a_line(spark, small):
-    lines = catalogue.QUERIES["q_report_all"](spark, small)
-    assert lines.count() == catalogue._scores(spark, small).count() > catalogue.QUERIES["q_report"](spark, small).count()
+    lines = catalogue.QUERIES["q_report"](spark, small)
+    assert lines.count() == catalogue._scores(spark, small).count() > 0
