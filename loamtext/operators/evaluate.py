@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 
 from loamtext.functions import f1, iou, ratio
 
+Keep = Callable[[DataFrame], DataFrame]
+
 TOLERANCE = 2
 IOU_THRESHOLD = 0.5
 #: Width of the place buckets of the overlap join.
@@ -293,9 +295,12 @@ def mass_pairs(pred: DataFrame, gt: DataFrame) -> DataFrame:
     return two.select("doc_id", ref.alias("ref"), hyp.alias("hyp"))
 
 
-def segmentation_metrics(pred: DataFrame, gt: DataFrame) -> DataFrame:
-    """Window and border-edit metrics per document; 0 and 1.0 where they are undefined."""
-    both = mass_pairs(pred, gt)
+def segmentation_metrics(pred: DataFrame, gt: DataFrame, keep: Keep = lambda df: df) -> DataFrame:
+    """Window and border-edit metrics per document; 0 and 1.0 where they are undefined.
+
+    ``keep`` may cut the lineage of what is read twice (a checkpoint or a cached table).
+    """
+    both = keep(mass_pairs(pred, gt))
     docs = counts(pred, gt).select("doc_id")
     out = docs.join(window_metrics(both), "doc_id", "left").join(border_edits(both).drop("matches", "near", "additions"), "doc_id", "left")
     return out.fillna(1.0, ["pk", "windowdiff"]).fillna(0.0, ["boundary_similarity", "bed_precision", "bed_recall", "bed_fmeasure"])
@@ -354,17 +359,20 @@ def topic_scores(pred: DataFrame, gt: DataFrame) -> DataFrame:
     return out.select("doc_id", precision.alias("topic_precision"), recall.alias("topic_recall"), f1(precision, recall).alias("topic_f1"))
 
 
-def evaluate_level(pred: DataFrame, gt: DataFrame, sentences: DataFrame | None = None, tolerance: int = TOLERANCE, stage: str = "agenda_items") -> DataFrame:
+def evaluate_level(pred: DataFrame, gt: DataFrame, sentences: DataFrame | None = None, tolerance: int = TOLERANCE, stage: str = "agenda_items", keep: Keep = lambda df: df) -> DataFrame:
     """All boundary metrics of one level, for documents with segments on either side.
 
     Matching is in sentence units where sentences are given, overlap in characters.
+    ``keep`` may cut the lineage of what is read several times.
     """
-    unit_pred = to_sentence_units(pred, sentences) if sentences is not None else pred
-    unit_gt = to_sentence_units(gt, sentences) if sentences is not None else gt
+    if sentences is not None:
+        unit_pred, unit_gt = keep(to_sentence_units(pred, sentences)), keep(to_sentence_units(gt, sentences))
+    else:
+        unit_pred, unit_gt = pred, gt
     out = precision_recall(match_boundaries(unit_pred, unit_gt, tolerance), counts(pred, gt))
     some = gt.select("doc_id").distinct()
     mean = best_iou(pred, gt).groupBy("doc_id").agg(F.avg("iou").alias("avg_iou")).join(some, "doc_id", "left_semi")
-    return out.join(mean, "doc_id", "left").join(segmentation_metrics(unit_pred, unit_gt), "doc_id", "left").withColumn("stage", F.lit(stage))
+    return out.join(mean, "doc_id", "left").join(segmentation_metrics(unit_pred, unit_gt, keep), "doc_id", "left").withColumn("stage", F.lit(stage))
 
 
 def evaluate_subjects(pred: DataFrame, gt: DataFrame, sentences: DataFrame | None = None, tolerance: int = TOLERANCE, topics: bool = True) -> DataFrame:

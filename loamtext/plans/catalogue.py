@@ -629,8 +629,9 @@ def q_statistics(spark, sf):
 
 
 def _unit_pair(spark, sf):
+    """Both sides in sentence units, kept: small tables that the scores read several times."""
     sents = views.sentences(spark, sf)
-    return evaluate.to_sentence_units(views.pred(spark, sf), sents), evaluate.to_sentence_units(views.truth(spark, sf), sents)
+    return pipelines.kept(evaluate.to_sentence_units(views.pred(spark, sf), sents)), pipelines.kept(evaluate.to_sentence_units(views.truth(spark, sf), sents))
 
 
 @query(views.sql('SELECT doc_id, idx, start, "end" FROM truth_u', *ALL_UNITS))
@@ -815,7 +816,7 @@ def q_topics(spark, sf):
     )
 )
 def q_eval_items(spark, sf):
-    out = evaluate.evaluate_level(views.pred(spark, sf).select("doc_id", "idx", "start", "end"), views.truth(spark, sf).select("doc_id", "idx", "start", "end"), views.sentences(spark, sf))
+    out = evaluate.evaluate_level(views.pred(spark, sf).select("doc_id", "idx", "start", "end"), views.truth(spark, sf).select("doc_id", "idx", "start", "end"), views.sentences(spark, sf), keep=pipelines.kept)
     return out.withColumns({c: F.round(c, 9) for c in ("avg_iou", "pk", "windowdiff", "boundary_similarity", "bed_precision", "bed_recall", "bed_fmeasure")})
 
 
