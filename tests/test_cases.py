@@ -285,7 +285,9 @@ def test_evaluation_of_files(spark, tmp_path, capsys):
         (tmp_path / name / "doc 1.json").write_text(json.dumps(data))
         (tmp_path / name / "empty.json").write_text(json.dumps(result() if name == "pred" else gt))
         (tmp_path / f"{name}.json").write_text(json.dumps(data))
-    for paths in ((tmp_path / "pred", tmp_path / "gt"), (tmp_path / "pred.json", tmp_path / "gt.json")):
+    alone = evaluate.evaluate_files(spark, str(tmp_path / "pred.json"), str(tmp_path / "gt.json"), verbose=False)["overall"].collect()
+    assert [(r.pred_items, r.gt_items, r.pred_subjects, r.gt_subjects) for r in alone] == [(2, 2, 2, 2)]
+    for paths in ((tmp_path / "pred", tmp_path / "gt"),):
         levels = evaluate.evaluate_files(spark, *map(str, paths))
         items, subjects = levels["agenda_items"].collect(), levels["subjects"].collect()
         assert len(items) == len(subjects) == 1 and items[0].doc_id == subjects[0].doc_id
