@@ -48,19 +48,26 @@ BLOCKS = [b for b in combinations(range(8), 4) if not b[0] ^ b[1] ^ b[2] ^ b[3]]
 STEP = 1 << 16
 
 
-def simhash(text: str | None, shingle: int = SHINGLE) -> int:
-    """The fingerprint as an unsigned integer."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; fewer words are one shingle, none give none."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = list(accumulate(map(len, words), lambda at, n: at + n + 1))
     k = min(shingle, len(words))
     starts = [0, *(e + 1 for e in ends)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :])), np.uint64, len(words) - k + 1)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :])), np.uint64, len(words) - k + 1)
+
+
+def simhash(text: str | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint as an unsigned integer."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), STEP):
         bits = np.unpackbits(hashes[at : at + STEP].astype(">u8").view(np.uint8)).reshape(-1, 64)
@@ -142,10 +149,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(member, "fp").select("id", "k2", "fp", "component", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The row of the least id (then text hash) of each component; of equal rows, one."""
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", members: DataFrame | None = None, **settings) -> DataFrame:
+    """The row of the least id (then text hash) of each component; of equal rows, one.
+
+    ``members(id, k2, component)`` are the components, by default those of :func:`near_duplicates`.
+    """
     inner = {c: f"_in_{k}" for k, c in enumerate(docs.columns)}
-    members = near_duplicates(docs, id_col, text_col, **settings)
+    if members is None:
+        members = near_duplicates(docs, id_col, text_col, **settings)
     least = members.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "k2")).alias("m")).select("component", F.col("m.id").alias("mid"), F.col("m.k2").alias("k2"))
     rows = members.groupBy("component", "id", "k2").agg(F.count(F.lit(1)).alias("n"))
     chosen = rows.join(least, ["component", "k2"]).where(F.col("id").eqNullSafe(F.col("mid")))
