@@ -54,7 +54,6 @@ def test_each_stage_takes_effect(spark, folder):
     assert last == {(r.doc_id, hashlib.sha256(",".join(map(str, sp.encode(r.text or ""))).encode()).hexdigest()) for r in seen["decontamination"]}
 
 
-@pytest.mark.xfail(strict=True, reason="the stage has the two bits of op5; see Open in the README")
 def test_edited_copies_go(spark):
     import random
 
