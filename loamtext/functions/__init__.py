@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SENTENCE_BREAK = "\x1e"
+#: What the pattern ``\\s`` matches.
+WHITE = " \t\n\x0b\f\r"
 
 
 def sentence_id(num: Column) -> Column:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loamtext.functions import sentence_id
+from loamtext.operators.sentences import texts as split_texts
+
 MAX_SENTENCES = 150
 OVERLAP = 30
 
@@ -72,6 +75,29 @@ def chunk_sentences(sentences: DataFrame, chunks: DataFrame, *more: str) -> Data
     return inside.select("doc_id", *more, "chunk_no", "sent_num", (F.col("sent_num") - F.col("first_num") + 1).alias("rel_num"), "text")
 
 
+def chunk_lines(docs: DataFrame, chunks: DataFrame | None, *more: str) -> DataFrame:
+    """``doc_id, more, chunk_no, first_num, n, lines``: the prompt lines of each chunk that has
+    sentences; without ``chunks`` a document is one.
+
+    ``docs``: ``doc_id`` and ``text``, or ``texts`` of its sentences.  A text is dealt once, by
+    document and unsorted, whatever the number of its chunks, and not at all without ``chunks``.
+    """
+    texts = F.col("texts") if "texts" in docs.columns else split_texts(F.col("text"))
+    if chunks is None:
+        of = docs.select("doc_id", texts.alias("texts"), F.array(F.struct(F.lit(0).alias("chunk_no"), F.lit(1).alias("first_num"), F.lit(None).cast("int").alias("last_num"))).alias("cs"))
+    else:
+        listed = chunks.groupBy("doc_id").agg(F.collect_list(F.struct(*more, "chunk_no", "first_num", "last_num")).alias("cs"))
+        of = docs.join(listed.hint("shuffle_hash"), "doc_id").select("doc_id", texts.alias("texts"), "cs")
+    each = of.select("doc_id", "texts", F.explode("cs").alias("c"))  # texts are cut below this
+    first = F.col("c.first_num")
+    low = F.greatest(first, F.lit(1))
+    n = F.least(F.coalesce("c.last_num", F.size("texts")), F.size("texts")) - low + 1
+    some = each.where(n > 0)  # by the size, not by the lines: those are made once
+    line = lambda x, i: F.concat(sentence_id(i + low - first + 1), F.lit(': "'), F.replace(x, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    shown = F.array_join(F.transform(F.slice("texts", low, n), line), "\n")
+    return some.select("doc_id", *(f"c.{m}" for m in more), "c.chunk_no", "c.first_num", n.cast("long").alias("n"), shown.alias("lines"))
+
+
 def dense_numbers(sentences: DataFrame, *group: str) -> DataFrame:
     """``rel_num``: the rank of a sentence inside its group."""
     return sentences.withColumn("rel_num", F.row_number().over(Window.partitionBy("doc_id", *group).orderBy("sent_num")))

@@ -132,16 +132,31 @@ def to_spans(items: DataFrame, sentences: DataFrame) -> DataFrame:
     return items.join(first, ["doc_id", "start_num"]).join(last, ["doc_id", "end_num"])
 
 
-def annotate(items: DataFrame, sentences: DataFrame, docs: DataFrame) -> DataFrame:
-    """:func:`to_spans` with the text of each span; an inverted span has the empty text."""
-    spans = to_spans(items, sentences)
+def place(items: DataFrame, spans: DataFrame) -> DataFrame:
+    """As :func:`to_spans`, from one row a document (:func:`sentences.spans`), dealt once."""
+    at = lambda c: F.get("spans", F.col(c) - 1)
+    found = items.join(spans, "doc_id").withColumns({"start": at("start_num")["start"], "end": at("end_num")["end"]})
+    return found.where("start is not null and end is not null").drop("spans")
+
+
+def with_text(spans: DataFrame, docs: DataFrame) -> DataFrame:
+    """The text of each span; an inverted span has the empty text."""
     full = docs.select("doc_id", F.col("text").alias("_full"))
     return spans.join(full, "doc_id").withColumn("text", span_slice(F.col("_full"), F.col("start"), F.col("end"))).drop("_full")
 
 
+def annotate(items: DataFrame, sentences: DataFrame, docs: DataFrame) -> DataFrame:
+    """:func:`to_spans` with the text of each span; an inverted span has the empty text."""
+    return with_text(to_spans(items, sentences), docs)
+
+
 def annotate_subjects(subjects: DataFrame, sentences: DataFrame, docs: DataFrame, offset: int = 0) -> DataFrame:
     """As :func:`annotate`, with sentence numbers moved by ``offset`` and default theme and topics."""
-    moved = subjects.withColumns(
+    return annotate(with_defaults(subjects, offset), sentences, docs)
+
+
+def with_defaults(subjects: DataFrame, offset: int = 0) -> DataFrame:
+    return subjects.withColumns(
         {
             "start_num": F.col("start_num") + offset,
             "end_num": F.col("end_num") + offset,
@@ -149,7 +164,6 @@ def annotate_subjects(subjects: DataFrame, sentences: DataFrame, docs: DataFrame
             "topics": F.coalesce("topics", F.array().cast("array<string>")),
         }
     )
-    return annotate(moved, sentences, docs)
 
 
 def covered(segments: DataFrame) -> DataFrame:
@@ -202,14 +216,29 @@ def tree_depth(nodes: DataFrame) -> DataFrame:
 
 def nested(items: DataFrame, subjects: DataFrame) -> DataFrame:
     """One row per document: ``agenda_items`` with ``item_id`` from 1 and their subjects."""
-    subject = F.struct("idx", "theme", "topics", "start", "end", "text")
-    grouped = subjects.groupBy("doc_id", "item_no").agg(F.array_sort(F.collect_list(subject)).alias("subjects"))
-    kind = dict(grouped.dtypes)["subjects"]
-    joined = items.join(grouped, ["doc_id", "item_no"], "left").withColumn("subjects", F.coalesce("subjects", F.array().cast(kind)))
-    item = F.struct("item_no", (F.col("item_no") + 1).alias("item_id"), F.col("title").alias("item_title"), "start", "end", "text", "subjects")
+    return nested_spans(items, subjects, "text")
+
+
+def nested_spans(items: DataFrame, subjects: DataFrame, *text: str) -> DataFrame:
+    """:func:`nested`; without ``text`` the spans alone, for :func:`texts_inside`."""
+    subject = F.struct("idx", "theme", "topics", "start", "end", *text)
+    mine = subjects.groupBy("doc_id", "item_no").agg(F.array_sort(F.collect_list(subject)).alias("subjects"))
+    kind = dict(mine.dtypes)["subjects"]
+    joined = items.join(mine, ["doc_id", "item_no"], "left").withColumn("subjects", F.coalesce("subjects", F.array().cast(kind)))
+    item = F.struct("item_no", (F.col("item_no") + 1).alias("item_id"), F.col("title").alias("item_title"), "start", "end", *text, "subjects")
     return joined.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("agenda_items"))
 
 
+def texts_inside(agenda_items: Column, full: Column) -> Column:
+    """Items of :func:`nested_spans` with the texts of their spans, in the fields' order of :func:`nested`."""
+    cut = lambda x: span_slice(full, x.start, x.end).alias("text")
+    subject = lambda s: F.struct(s.idx.alias("idx"), s.theme.alias("theme"), s.topics.alias("topics"), s.start.alias("start"), s.end.alias("end"), cut(s))
+    item = lambda i: F.struct(
+        i.item_no.alias("item_no"), i.item_id.alias("item_id"), i.item_title.alias("item_title"), i.start.alias("start"), i.end.alias("end"), cut(i), F.transform(i.subjects, subject).alias("subjects")
+    )
+    return F.transform(agenda_items, item)
+
+
 def statistics(docs: DataFrame, sentences: DataFrame, items: DataFrame, subjects: DataFrame) -> DataFrame:
     """Counts and coverage of a result per document; zero where there is nothing."""
     count = lambda df, name: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))

@@ -6,11 +6,11 @@ operators that follow reuse.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loamtext.functions import SENTENCE_BREAK
+from loamtext.functions import SENTENCE_BREAK, WHITE
 
 #: A sentence ends with end marks and white space, or with line breaks.
 TERMINATOR = r"([.!?]+\s+|\n+)"
@@ -32,23 +32,17 @@ def numbered(cut: DataFrame) -> DataFrame:
     leaves trailing white space out.
     """
     by_doc = Window.partitionBy("doc_id").orderBy("pos")
-    blank = F.col("raw").rlike(r"^\s*$")
-    placed = cut.select(
+    body = F.rtrim("raw", F.lit(WHITE))
+    # lengths are taken before the exchange, so the text is dealt only to readers of it
+    measured = cut.select("doc_id", "pos", F.ltrim(body, F.lit(WHITE)).alias("text"), F.char_length("raw").alias("n"), F.char_length(body).alias("n_body"))
+    placed = measured.select(
         "doc_id",
-        "pos",
-        "raw",
-        blank.alias("blank"),
-        (F.sum(F.char_length("raw")).over(by_doc) - F.char_length("raw")).cast("int").alias("start"),
-        F.sum(F.when(blank, 0).otherwise(1)).over(by_doc).cast("int").alias("sent_num"),
-    )
-    body = F.regexp_replace("raw", r"\s+$", "")
-    return placed.where(~F.col("blank")).select(
-        "doc_id",
-        "sent_num",
-        F.regexp_replace(body, r"^\s+", "").alias("text"),
-        "start",
-        (F.col("start") + F.char_length(body)).alias("end"),
+        "text",
+        "n_body",
+        (F.sum("n").over(by_doc) - F.col("n")).cast("int").alias("start"),
+        F.sum(F.when(F.col("n_body") == 0, 0).otherwise(1)).over(by_doc).cast("int").alias("sent_num"),
     )
+    return placed.where("n_body > 0").select("doc_id", "sent_num", "text", "start", (F.col("start") + F.col("n_body")).alias("end"))
 
 
 def split_sentences(docs: DataFrame, text_col: str = "text", terminator: str = TERMINATOR) -> DataFrame:
@@ -57,6 +51,18 @@ def split_sentences(docs: DataFrame, text_col: str = "text", terminator: str = T
     return numbered(pieces(some, text_col, terminator))
 
 
+def texts(text: Column, terminator: str = TERMINATOR) -> Column:
+    """The texts of :func:`split_sentences` as one array, in order: no exchange, no sort."""
+    marked = F.regexp_replace(text, terminator, "$1" + SENTENCE_BREAK)
+    return F.filter(F.transform(F.split(marked, SENTENCE_BREAK, -1), lambda x: F.trim(x, F.lit(WHITE))), lambda x: x != "")
+
+
+def spans(sentences: DataFrame) -> DataFrame:
+    """``doc_id, spans``: a document's offsets in the order of its sentences, one row each."""
+    listed = sentences.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_num", "start", "end"))).alias("l"))
+    return listed.select("doc_id", F.transform("l", lambda x: F.struct(x.start.alias("start"), x.end.alias("end"))).alias("spans"))
+
+
 def split_with(docs: DataFrame, splitter, text_col: str = "text") -> DataFrame:
     """Sentences from a user's splitter: ``splitter(iterator of pandas frames)`` yields
     ``doc_id, pos, raw`` with ``raw`` adding up to the text (a model-based splitter)."""
