@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,30 @@ def title_position(text: Column, title: Column, before: Column) -> Column:
     return F.coalesce(last_position(text, title, before), last_position(text, bare, before))
 
 
+def last_places(titles: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc_id, idx, pos``: the last occurrence of each title that ends at or before ``before``;
+    null without one (``titles``: doc_id, idx, title, before).
+
+    One row a document and a search backwards from each place: a text is neither copied nor
+    turned for each of its titles.
+    """
+    given = F.struct("idx", F.coalesce("title", F.lit("")).alias("title"), F.greatest(F.coalesce("before", F.lit(0)), F.lit(0)).alias("before"))
+    listed = titles.groupBy("doc_id").agg(F.collect_list(given).alias("l"))
+    joined = docs.join(listed.hint("shuffle_hash"), "doc_id")
+
+    @F.pandas_udf("array<int>")
+    def places(texts: pd.Series, titles: pd.Series, ends: pd.Series) -> pd.Series:
+        def search(text, needles, stops) -> list[int | None]:
+            found = (text.rfind(n, 0, int(e)) if text is not None and n else -1 for n, e in zip(needles, stops))
+            return [None if at < 0 else at for at in found]
+
+        return pd.Series([search(*row) for row in zip(texts, titles, ends)], dtype=object)
+
+    at = places("text", F.transform("l", lambda x: x.title), F.transform("l", lambda x: x.before)).alias("at")
+    rows = joined.select("doc_id", F.transform("l", lambda x: x.idx).alias("idx"), at)
+    return rows.select("doc_id", F.explode(F.arrays_zip("idx", "at")).alias("m")).select("doc_id", "m.idx", F.col("m.at").alias("pos"))
+
+
 def item_spans(items: DataFrame, subjects: DataFrame, docs: DataFrame) -> DataFrame:
     """``start, end`` for each item with a fully placed subject, null for others.
 

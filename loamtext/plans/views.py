@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loamtext.functions import WHITE
 from loamtext.operators import sentences as sentence_ops
 
 
@@ -17,17 +18,19 @@ def sentences(spark: SparkSession, sf: str) -> DataFrame:
     return sentence_ops.split_sentences(documents(spark, sf))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """Lines of a text that are not blank, as segments (``idx`` from 0)."""
+def lines(docs: DataFrame, chars: int | None = None) -> DataFrame:
+    """Lines of a text that are not blank, as segments (``idx`` from 0); ``line`` cut to ``chars``."""
     w = Window.partitionBy("doc_id").orderBy("no")
     cut = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
-    n = F.char_length("line")
-    placed = cut.withColumn("start", (F.sum(n + 1).over(w) - n - 1).cast("int")).where(F.col("line").rlike(r"\S"))
-    return placed.select("doc_id", (F.row_number().over(w) - 1).alias("idx"), "start", (F.col("start") + n).alias("end"), "line")
+    shown = F.col("line") if chars is None else F.substring("line", 1, chars)
+    # measured before the exchange, so the lines are dealt only to readers of them
+    measured = cut.select("doc_id", "no", shown.alias("line"), F.char_length("line").alias("n"), (F.trim("line", F.lit(WHITE)) != "").alias("some"))
+    placed = measured.withColumn("start", (F.sum(F.col("n") + 1).over(w) - F.col("n") - 1).cast("int")).where("some")
+    return placed.select("doc_id", (F.row_number().over(w) - 1).alias("idx"), "start", (F.col("start") + F.col("n")).alias("end"), "line")
 
 
-def truth(spark: SparkSession, sf: str) -> DataFrame:
-    return lines(documents(spark, sf))
+def truth(spark: SparkSession, sf: str, chars: int | None = None) -> DataFrame:
+    return lines(documents(spark, sf), chars)
 
 
 def blocks(sents: DataFrame, size: int = 5) -> DataFrame:

@@ -3,8 +3,8 @@
 import re
 
 import pytest
-from loamtext.operators import chunks, segments, sentences
-from loamtext.plans import pipelines
+from loamtext.operators import chunks, minutes, segments, sentences
+from loamtext.plans import catalogue, pipelines
 
 
 def exchanges(df):
@@ -47,3 +47,16 @@ def test_spans_are_placed_as_by_joins(spark, docs):
     shown = lambda df: sorted((r.doc_id, r.idx, r.start, r.end, r.text) for r in df.collect())
     got = shown(segments.with_text(segments.place(items, sentences.spans(sents)), docs))
     assert got == shown(segments.annotate(items, sents, docs)) and [x[1] for x in got] == [0, 1, 4]
+
+
+def test_titles_are_searched_one_row_a_document(spark):
+    docs = spark.createDataFrame([(1, "aXa é𝄞aX aX"), (2, None), (3, "")], "doc_id long, text string")
+    asked = [(1, 0, "aX", 11), (1, 1, "aX", 9), (1, 2, "aX", 1), (1, 3, "", 5), (1, 4, None, 5), (1, 5, "aX", -3), (1, 6, "𝄞a", 99), (1, 7, "aX", None), (2, 0, "a", 3), (3, 0, "a", 3)]
+    titles = spark.createDataFrame(asked, "doc_id long, idx int, title string, before int")
+    got = {(r.doc_id, r.idx): r.pos for r in minutes.last_places(titles, docs).collect()}
+    assert got == {(1, 0): 9, (1, 1): 6, (1, 2): None, (1, 3): None, (1, 4): None, (1, 5): None, (1, 6): 5, (1, 7): None, (2, 0): None, (3, 0): None}
+
+
+def test_a_title_is_not_joined_to_a_copy_of_its_text(spark, small):
+    plan = catalogue.QUERIES["q_title_last"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"reverse\(", plan)
